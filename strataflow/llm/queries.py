@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import line_dedup, sharding
+from strataflow.llm import line_dedup, packing, sharding, simhash
 from strataflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": lambda spark, d: simhash.op1(documents(spark, d)),
+    "op4_packing": lambda spark, d: packing.op4(documents(spark, d)),
     "op6_sharding": lambda spark, d: sharding.op6(documents(spark, d)),
     "op8_line_dedup": lambda spark, d: line_dedup.op8(documents(spark, d)),
 }
