@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import line_dedup, packing, sharding, simhash
+from strataflow.llm import decontaminate, line_dedup, packing, sharding, simhash
 from strataflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,8 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": lambda spark, d: packing.op4(documents(spark, d)),
     "op6_sharding": lambda spark, d: sharding.op6(documents(spark, d)),
     "op8_line_dedup": lambda spark, d: line_dedup.op8(documents(spark, d)),
+    "op10_decontamination": lambda spark, d: decontaminate.contaminated(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": line_dedup.ORACLE,
+    "op10_decontamination": decontaminate.ORACLE,
 }
