@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import decontaminate, line_dedup, packing, sharding, simhash, substring_dedup
+from strataflow.llm import decontaminate, line_dedup, packing, quality, sharding, simhash, substring_dedup
 from strataflow.llm.common import documents
 
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": lambda spark, d: simhash.op1(documents(spark, d)),
+    "op2_quality": lambda spark, d: quality.quality_scores(documents(spark, d), _table(spark, d, "labels")),
     "op4_packing": lambda spark, d: packing.op4(documents(spark, d)),
     "op5_substring_dedup": lambda spark, d: substring_dedup.op5(documents(spark, d)),
     "op6_sharding": lambda spark, d: sharding.op6(documents(spark, d)),
     "op8_line_dedup": lambda spark, d: line_dedup.op8(documents(spark, d)),
-    "op10_decontamination": lambda spark, d: decontaminate.contaminated(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+    "op10_decontamination": lambda spark, d: decontaminate.contaminated(documents(spark, d), _table(spark, d, "benchmark")),
 }
 
 ORACLE_SQL: dict[str, str] = {
