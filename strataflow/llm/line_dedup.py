@@ -36,6 +36,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found.where("doc_id is not null").groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2").agg(F.sum("one").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs).drop("n_docs")
     )
+    shared = cut(shared)  # so that the join below has an exchange on both sides, which AQE can split
     dropped = (
         found.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("row_key").agg(F.collect_set("pos").alias("gone"))
