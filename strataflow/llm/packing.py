@@ -67,6 +67,16 @@ class WordTokenizer:
         return b"".join(out)
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_at(path: str) -> WordTokenizer:
+    """This worker's tokenizer, with the words that it remembers from earlier tasks."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each item: longest first, each into the first bin that has room.
 
@@ -96,7 +106,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int
     """(doc_id, start, length, ids_crc32, doc_tokens): every document's ids and end_id, cut every `capacity` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = tokenizer_at(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
