@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import decontaminate, line_dedup, packing, quality, sharding, simhash, substring_dedup, toxicity
+from strataflow.llm import decontaminate, hamming, line_dedup, packing, quality, sharding, simhash, substring_dedup, toxicity
 from strataflow.llm.common import documents
 
 
@@ -17,6 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": lambda spark, d: simhash.op1(documents(spark, d)),
     "op2_quality": lambda spark, d: quality.quality_scores(documents(spark, d), _table(spark, d, "labels")),
+    "op3_hamming_top_k": lambda spark, d: hamming.hamming_top_k(_table(spark, d, "embeddings")),
     "op4_packing": lambda spark, d: packing.op4(documents(spark, d)),
     "op5_substring_dedup": lambda spark, d: substring_dedup.op5(documents(spark, d)),
     "op6_sharding": lambda spark, d: sharding.op6(documents(spark, d)),
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_hamming_top_k": hamming.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
 }
