@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataflow.llm import decontaminate, hamming, line_dedup, packing, quality, sharding, simhash, substring_dedup, toxicity
+from strataflow.llm import decontaminate, hamming, line_dedup, packing, quality, secrets, sharding, simhash, substring_dedup, toxicity
 from strataflow.llm.common import documents
 
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": lambda spark, d: packing.op4(documents(spark, d)),
     "op5_substring_dedup": lambda spark, d: substring_dedup.op5(documents(spark, d)),
     "op6_sharding": lambda spark, d: sharding.op6(documents(spark, d)),
+    "op7_secrets": lambda spark, d: secrets.secrets(documents(spark, d)),
     "op8_line_dedup": lambda spark, d: line_dedup.op8(documents(spark, d)),
     "op9_toxicity": lambda spark, d: toxicity.toxicity(documents(spark, d), _table(spark, d, "labels")),
     "op10_decontamination": lambda spark, d: decontaminate.contaminated(documents(spark, d), _table(spark, d, "benchmark")),
