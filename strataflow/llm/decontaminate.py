@@ -94,17 +94,43 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, threshold: f
     block is one pass over the documents. Nothing is shuffled, and no document or item is frequent enough to
     matter. A document goes through in memory that follows its own length.
     """
+    out, each = None, texts(docs, id_col, text_col)
+    for index in _indexes(items, words, threshold, block_bytes, item_id, item_text):
+        found = each.mapInArrow(_searcher(index), "doc_id long, item_id long, n_shared long, n_shingles long")
+        out = found if out is None else out.union(found)
+    return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, words: int = 5, threshold: float = 0.8, block_bytes: int = 16 << 20, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that hold no test item; one pass for each block of items."""
+    at = docs.columns.index(text_col)
+    for index in _indexes(items, words, threshold, block_bytes, item_id, item_text):
+        docs = docs.mapInArrow(_filter(index, at), docs.schema)
+    return docs
+
+
+def _indexes(items: DataFrame, words: int, threshold: float, block_bytes: int, item_id: str, item_text: str) -> Iterator:
+    """The items' index, broadcast, in blocks."""
     chosen = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    each = texts(docs, id_col, text_col)
-    out = None
     for k in range(n_blocks):
         block = chosen.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).collect()  # block_bytes of text
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in block], words, threshold))
-        found = each.mapInArrow(_searcher(index), "doc_id long, item_id long, n_shared long, n_shingles long")
-        out = found if out is None else out.union(found)
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in block], words, threshold))
+
+
+def _filter(index, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        for b in batches:
+            keep, first = np.ones(b.num_rows, bool), 0
+            bare = iter([pa.RecordBatch.from_arrays([b.column(at).fill_null("")], ["text"])])
+            for rows, data, offsets in chunks(bare, 0, _CHUNK):
+                keep[[first + t for t, _, _ in own.matches(Words(data, offsets, lower=True), rows.num_rows)]] = False
+                first += rows.num_rows
+            yield b.filter(pa.array(keep))
+
+    return run
 
 
 def _searcher(index):

@@ -12,7 +12,7 @@ def _key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, keep_row: bool = False) -> DataFrame:
     r"""(doc_id, n_lines, n_dropped, kept): the texts without the lines that many documents share.
 
     A text splits at \n; a line's key is the line without white space at its ends, A-Z in lower case. A key
@@ -25,9 +25,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Only hashes move: 128 bits a line, its document and position. A line in a third of all documents is
     counted from (hash, document) pairs and pre-aggregated, so no task gathers its documents; the join back
-    is a plain equi-join, which AQE splits. Texts move once, in the last join.
+    is a plain equi-join, which AQE splits. Texts move once, in the last join. With keep_row, `row` has
+    the other columns of the input as a struct.
     """
-    at = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rest = [F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")] if keep_row else []
+    at = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
     at = at.withColumn("row_key", F.xxhash64("doc_id", "text"))
     line = F.posexplode(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), _key(x).alias("key"))), lambda x: F.char_length(x["key"]) >= min_chars))
     found = at.select("doc_id", "row_key", line.alias("nth", "line")).select("doc_id", "row_key", F.col("line.pos").alias("pos"), F.xxhash64("line.key").alias("h1"), F.xxhash64(F.lit(7), "line.key").alias("h2"))
@@ -42,16 +44,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("row_key").agg(F.collect_set("pos").alias("gone"))
     )
     lines = F.split("text", "\n", -1)
-    out = at.join(dropped, "row_key", "left").select("doc_id", lines.alias("lines"), "gone")
+    row = ["row"] if keep_row else []
+    out = at.join(dropped, "row_key", "left").select("doc_id", lines.alias("lines"), "gone", *row)
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i)))
     return out.select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.array_join(kept, "\n").alias("kept"),
+        *row,
     )
 
 
+def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """docs with the text that is left, and its number of characters where there is such a column."""
+    out = dedup_lines(docs, id_col, text_col, keep_row=True)
+    now = {text_col: F.col("kept"), count_col: F.char_length("kept").cast("long")}
+    return out.select(*[now.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def op8(docs: DataFrame) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 

@@ -40,14 +40,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+    """(doc_id, fp, text_key) of every row, as longs; text_key is a hash of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], ["doc_id", "fp", "text_key"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    keyed = texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    return keyed.mapInArrow(run, "doc_id long, fp long, text_key long")
 
 
 def _links(fps: np.ndarray, offsets: np.ndarray, max_bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +116,9 @@ def link(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
-    """(doc_id, fp long, component_id): the near-duplicate component of every row, by its smallest doc_id.
+    """(doc_id, fp, text_key, root, component_id): the near-duplicate component of every row.
+
+    component_id is the smallest doc_id of the component, root the smallest fingerprint.
 
     Null, empty and blank texts have fingerprint zero and so are near duplicates of each other. Null ids: the
     row keeps its place and counts for links, but no component takes its name from it. Equal rows are in one
@@ -130,8 +133,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(link(distinct, max_bits))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = named.join(lowest, "root").select("fp", "component_id")
-    return each.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = named.join(lowest, "root").select("fp", "root", "component_id")
+    return each.join(labels, "fp").select("doc_id", "fp", "text_key", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the row of the smallest id stays.
+
+    Where ids are equal, one of the least text hash stays; null ids count as larger than all others. Equal
+    rows leave one.
+    """
+    labels = near_duplicates(docs, id_col, text_col, words, max_bits)
+    stays = labels.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("s"))
+    stays = stays.select(F.coalesce("s.doc_id", F.lit(0)).alias("_id"), F.col("s.doc_id").isNull().alias("_none"), F.col("s.text_key").alias("_key"))
+    own = F.col(id_col).cast("long")
+    keyed = docs.select(F.coalesce(own, F.lit(0)).alias("_id"), own.isNull().alias("_none"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return keyed.join(stays, ["_id", "_none", "_key"], "left_semi").dropDuplicates(["_id", "_none", "_key"]).select("_row.*")
 
 
 def op1(docs: DataFrame) -> DataFrame:
