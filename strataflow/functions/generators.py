@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strataflow.functions.text import byte_tokens, canonicalize, reusable_prefix
+from strataflow.functions.text import byte_tokens, canonicalize, let, reusable_prefix
 
 
 @dataclass(frozen=True)
@@ -40,16 +40,18 @@ def generate(rule: Rule, tokens: Column, max_tokens: int) -> Column:
     """array<int> of max_tokens output tokens; none for no prompt tokens or a negative count."""
     if max_tokens <= 0:
         return F.array().cast("array<int>")
-    size = F.size(tokens)
-    each = lambda i: (F.get(tokens, i % size) + i + rule.salt) % rule.modulus
-    return F.when(size > 0, F.transform(F.sequence(F.lit(0), F.lit(max_tokens - 1)), each)).otherwise(F.array().cast("array<int>"))
+    def out(known: Column) -> Column:
+        each = lambda i: (F.get(known, i % F.size(known)) + i + rule.salt) % rule.modulus
+        return F.when(F.size(known) > 0, F.transform(F.sequence(F.lit(0), F.lit(max_tokens - 1)), each)).otherwise(F.array().cast("array<int>"))
+
+    return let(tokens, out)
 
 
 def run(name: str, prompt: Column, max_tokens: int, remaining: Column | None = None, has_state: Column | None = None) -> Column:
     """struct<output, compute_steps, tokens_sent, tokens_saved, reused_prefix_len, used_cached_state> of one call."""
     rule = RULES[name]
     tokens = prompt_tokens(rule, prompt)
-    size = F.size(tokens)
+    size = F.greatest(F.octet_length(prompt), F.lit(1))
     left = F.greatest(F.coalesce(remaining, size), F.lit(0)) if remaining is not None else size
     state = F.coalesce(has_state, F.lit(False)) if has_state is not None else F.lit(False)
     if name == "vllm":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,12 +18,16 @@ def token_count(text: Column) -> Column:
     return F.octet_length(text)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, where its uses stand inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def byte_tokens(text: Column) -> Column:
     """array<int> of the bytes of a text."""
-    size = F.octet_length(text)
-    hexa = F.hex(F.encode(text, "UTF-8"))
-    at = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
-    return F.when(size > 0, F.transform(at, lambda i: F.conv(F.substring(hexa, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))).when(size == 0, F.array().cast("array<int>"))
+    byte = lambda raw, i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")
+    each = lambda raw: F.transform(F.sequence(F.lit(1), F.greatest(F.length(raw), F.lit(1))), lambda i: byte(raw, i))
+    return F.when(text == "", F.array().cast("array<int>")).when(text.isNotNull(), let(F.encode(text, "UTF-8"), each))
 
 
 def joined_inputs(*parts: Column) -> Column:
