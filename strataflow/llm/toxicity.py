@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +21,6 @@ _PREFIXES = (3, 4, 5, 6)
 _KINDS = 1 + len(_PREFIXES)
 
 
-@lru_cache(maxsize=200_000)
 def _features(word: bytes) -> tuple[int, ...]:
     """Buckets of a word's features: itself and its prefixes, lower-cased, without signs at its ends."""
     import xxhash
@@ -141,7 +138,21 @@ class ToxicSpans:
         return w, p
 
 
-def _groups(seen: list[set[int]]) -> np.ndarray:
+class Tokens:
+    """Texts as numbers: a vocabulary with a row of feature buckets for each word, and each text's words in it."""
+
+    def __init__(self, texts: list[str]):
+        known: dict[bytes, int] = {}
+        self.docs = [np.array([known.setdefault(w, len(known)) for w in t.encode().split()], np.int32) for t in texts]
+        self.features = np.array([_features(w) for w in known], np.int32).reshape(len(known), _KINDS)
+
+    def seen(self) -> list[np.ndarray]:
+        """Each text's distinct features."""
+        out = [np.unique(self.features[np.unique(d)]) for d in self.docs]
+        return [f[f > 0] for f in out]
+
+
+def _groups(seen: list[np.ndarray]) -> np.ndarray:
     """The group of near copies of each document: documents that share one of six bands of four MinHash values.
 
     Only features of few documents count (fifty, or one in fifty of them), as texts of one language share the others anyhow.
@@ -156,79 +167,88 @@ def _groups(seen: list[set[int]]) -> np.ndarray:
             i = parent[i]
         return i
 
-    often = Counter(f for s in seen for f in s)
+    often = np.bincount(np.concatenate([np.zeros(0, np.int32), *seen]), minlength=BUCKETS)
     most = max(3, min(50, len(seen) // 50))
     seeds = np.array([[xxhash.xxh64_intdigest(b"%d.%d" % (i, j)) | 1 for j in range(2)] for i in range(24)], np.uint64)
     table: dict[tuple, int] = {}
     for i, s in enumerate(seen):
-        if rare := [f for f in s if often[f] <= most]:
-            own = np.array(rare, np.uint64)
-            low = mix(own[None, :] * seeds[:, :1] + seeds[:, 1:]).min(axis=1).reshape(6, 4).tolist()
+        rare = s[often[s] <= most].astype(np.uint64)
+        if len(rare):
+            low = mix(rare[None, :] * seeds[:, :1] + seeds[:, 1:]).min(axis=1).reshape(6, 4).tolist()
             for band, values in enumerate(low):
                 j = table.setdefault((band, *values), i)
                 parent[root(i)] = root(j)
     return np.array([root(i) for i in range(len(seen))])
 
 
-def toxic_features(docs: list[list[bytes]], toxic: np.ndarray, precision: float = 0.8) -> set[int]:
+def toxic_features(tokens: Tokens, toxic: np.ndarray, precision: float = 0.8) -> np.ndarray:
     """Features that mark toxic words, by the documents' labels alone.
 
     Each group of near copies counts once, or every word of a copied toxic text would seem toxic. A feature is
     taken if at least `precision` of its groups are toxic and so many would hardly be by chance: by the
-    Chernoff bound on the share of toxic groups, over all features that are as frequent, less than one in seven times.
+    Chernoff bound on the share of toxic groups, over all features that are as frequent, less than one in
+    seven times.
     """
-    seen = [{f for w in set(ws) for f in _features(w) if f} for ws in docs]
+    seen = tokens.seen()
     group = _groups(seen)
-    bad, good = Counter(), Counter()
-    for g in np.unique(group):
-        members = np.flatnonzero(group == g)
-        (bad if toxic[members].max() else good).update(set().union(*(seen[i] for i in members)))
-    n_bad = len({g for g, t in zip(group, toxic, strict=True) if t})
-    share = n_bad / max(1, len(set(group.tolist())))
-    counts = np.sort(np.array(list((bad + good).values())))
-
-    def clear(f: int) -> bool:
-        n, at = bad[f] + good[f], bad[f] / (bad[f] + good[f])
-        need = math.log(len(counts) - np.searchsorted(counts, n)) + 2  # over all features as frequent
-        if at < precision or at <= share:
-            return False
-        return n * (at * math.log(at / share) + (0 if at == 1 else (1 - at) * math.log((1 - at) / (1 - share)))) >= need
-
-    return {f for f in bad if clear(f)}
-
-
-def token_labels(docs: list[list[bytes]], toxic: np.ndarray) -> list[np.ndarray]:
+    counts = np.zeros((2, BUCKETS))
+    n_bad = 0
+    order = np.argsort(group, kind="stable")
+    for members in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        bad = int(toxic[members].max())
+        n_bad += bad
+        counts[bad, np.unique(np.concatenate([seen[i] for i in members]))] += 1
+    total = counts.sum(axis=0)
+    had = np.flatnonzero(total)
+    n, at = total[had], counts[1, had] / total[had]
+    share = n_bad / max(1, len(np.unique(group)))
+    if not 0 < share < 1:
+        return np.zeros(0, np.int64)
+    need = np.log(len(n) - np.searchsorted(np.sort(n), n)) + 2
+    rest = np.where(at < 1, (1 - at) * np.log(np.maximum(1 - at, 1e-12) / (1 - share)), 0)
+    far = n * (at * np.log(np.maximum(at, 1e-12) / share) + rest)
+    return had[(at >= precision) & (at > share) & (far >= need)]
+
+
+def token_labels(tokens: Tokens, toxic: np.ndarray) -> list[np.ndarray]:
     """The labelled tokens: words of toxic documents that have a toxic feature."""
-    chosen = toxic_features(docs, toxic)
-    return [np.array([t == 1 and not chosen.isdisjoint(_features(w)) for w in ws], bool) for ws, t in zip(docs, toxic, strict=True)]
-
-
-def fit_field(docs: list[list[bytes]], tags: list[np.ndarray], steps: int = 25, rate: float = 0.5, decay: float = 2e-4) -> ToxicSpans:
-    """Penalised maximum likelihood of the tags, by Adam over whole passes."""
-    flat = [w for ws in docs for w in ws]
-    first = np.cumsum([0, *[len(ws) for ws in docs]])[:-1]
-    ids = np.array([_features(w) for w in flat], np.int64).reshape(len(flat), _KINDS)
-    y = np.concatenate([np.zeros(0, bool), *tags])
-    inner = np.ones(len(flat), bool)
-    inner[first[first < len(flat)]] = False
-    at = np.flatnonzero(inner)
+    marked = np.isin(tokens.features, toxic_features(tokens, toxic)).any(axis=1)
+    return [marked[d] & bool(t) for d, t in zip(tokens.docs, toxic, strict=True)]
+
+
+def fit_field(tokens: Tokens, tags: list[np.ndarray], steps: int = 25, rate: float = 0.5, decay: float = 2e-4, block: int = 200_000) -> ToxicSpans:
+    """Penalised maximum likelihood of the tags, by Adam over whole passes in blocks of about `block` words."""
+    parts, now, size = [], [], 0
+    for k, d in enumerate(tokens.docs):
+        now.append(k)
+        size += len(d)
+        if size >= block or k == len(tokens.docs) - 1:
+            parts.append((np.concatenate([tokens.docs[i] for i in now]), np.cumsum([0, *[len(tokens.docs[i]) for i in now]])[:-1], np.concatenate([tags[i] for i in now])))
+            now, size = [], 0
+    total = max(1.0, float(sum(y.sum() for _, _, y in parts)))
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), 1)
+    for w, first, y in parts:
+        inner = np.ones(len(w), bool)
+        inner[first[first < len(w)]] = False
+        at = np.flatnonzero(inner)
+        np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), 1)
+    words, shape = len(tokens.features), tokens.features.ravel()
     theta = np.zeros(BUCKETS + 5)
-    theta[BUCKETS] = math.log((y.sum() + 1) / (len(y) + 100))
+    theta[BUCKETS] = math.log((total + 1) / (sum(len(w) for w, _, _ in parts) + 100))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    total = max(1.0, float(y.sum()))
     for t in range(1, steps + 1):
         weights = theta[:BUCKETS].copy()
         weights[0] = 0
-        p, pairs, _ = marginals(weights[ids].sum(axis=1) + theta[BUCKETS], first, theta[BUCKETS + 1 :].reshape(2, 2))
-        miss = (p - y) / total
-        g = np.zeros_like(theta)
-        g[:BUCKETS] = np.bincount(ids.ravel(), np.repeat(miss, _KINDS), BUCKETS)
-        g[0] = 0
-        g[BUCKETS] = miss.sum()
-        g[BUCKETS + 1 :] = ((pairs - seen) / total).ravel()
-        g += decay * theta * np.r_[np.ones(BUCKETS), 0, np.ones(4)]
+        each = weights[tokens.features].sum(axis=1) + theta[BUCKETS]
+        miss, g = np.zeros(words), np.zeros_like(theta)
+        g[BUCKETS + 1 :] = -seen.ravel()
+        for w, first, y in parts:
+            p, pairs, _ = marginals(each[w], first, theta[BUCKETS + 1 :].reshape(2, 2))
+            miss += np.bincount(w, p - y, words)
+            g[BUCKETS + 1 :] += pairs.ravel()
+        g[:BUCKETS] = np.bincount(shape, np.repeat(miss, _KINDS), BUCKETS)
+        g[0], g[BUCKETS] = 0, miss.sum()
+        g = g / total + decay * theta * np.r_[np.ones(BUCKETS), 0, np.ones(4)]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
     weights = theta[:BUCKETS].astype(np.float32)
@@ -239,7 +259,7 @@ def fit_field(docs: list[list[bytes]], tags: list[np.ndarray], steps: int = 25,
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> ToxicSpans | float:
     """The field fitted to at most max_rows toxic and max_rows other labelled documents of the training folds.
 
-    Those of least hashed id are taken. Texts of over 2 ** 16 bytes are no training rows, so the driver's
+    Those of least hashed id are taken. Texts of over 2 ** 15 bytes are no training rows, so the driver's
     memory has a bound. Without a toxic or without another row: the share of toxic ones as a constant score.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -247,13 +267,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by = F.xxhash64("doc_id"), F.col("doc_id")
     chosen = known.where("toxic = 1").orderBy(*by).limit(max_rows).union(known.where("toxic = 0").orderBy(*by).limit(max_rows))
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= 1 << 16).select("doc_id", "text", "toxic").toArrow()
+    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= 1 << 15).select("doc_id", "text", "toxic").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     toxic = rows["toxic"].to_numpy()
     if not (toxic == 1).any() or not (toxic == 0).any():
         return float(toxic.mean()) if len(toxic) else 0.0
-    words = [t.as_py().encode().split() for t in rows["text"]]
-    return fit_field(words, token_labels(words, toxic))
+    tokens = Tokens(rows["text"].to_pylist())
+    return fit_field(tokens, token_labels(tokens, toxic))
 
 
 def _judged(p: np.ndarray, w: Words) -> np.ndarray:
