@@ -180,12 +180,12 @@ def linear_layer(spark, sf_dir):  # T12
 
 @query(
     "WITH c AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(0, len(embedding))) AS k FROM embeddings) "
-    "SELECT a.k AS i, b.k AS j, round(sum(CAST(a.v AS DOUBLE) * b.v), 3) AS v FROM c a JOIN c b USING (vec_id) GROUP BY a.k, b.k"
+    "SELECT a.k AS i, b.k AS j, round(sum(CAST(a.v AS DOUBLE) * b.v), 3) + 0.0 AS v FROM c a JOIN c b USING (vec_id) GROUP BY a.k, b.k"
 )
 def matmul_coo(spark, sf_dir):  # T5: the product of the transposed table with itself, one partial matrix a task
     rows = _table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("e"))
     cells = rows.select("e", F.posexplode("e").alias("i", "a")).select("i", "a", F.posexplode("e").alias("j", "b"))
-    return cells.groupBy(_long(F.col("i")).alias("i"), _long(F.col("j")).alias("j")).agg(F.round(F.sum(F.col("a").cast("double") * F.col("b").cast("double")), 3).alias("v"))
+    return cells.groupBy(_long(F.col("i")).alias("i"), _long(F.col("j")).alias("j")).agg((F.round(F.sum(F.col("a").cast("double") * F.col("b").cast("double")), 3) + F.lit(0.0)).alias("v"))
 
 
 @query("SELECT * FROM (VALUES (1, CAST(4.0 AS DOUBLE), CAST(6.0 AS DOUBLE), CAST(11.0 AS DOUBLE), CAST(58.0 AS DOUBLE))) AS v(id, sum_0, sum_1, dot, cell)")
