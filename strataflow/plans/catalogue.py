@@ -15,7 +15,7 @@ from strataflow.functions import generators, tensor, text
 from strataflow.operators import prefix
 from strataflow.operators.backends import select_by_priority
 from strataflow.operators.session import ReusePolicy, metrics, reuse
-from strataflow.plans import benchmarks, graph, qa, types
+from strataflow.plans import benchmarks, graph, nn, qa, types
 from strataflow.plans.optimize import scores
 from strataflow.sources.prompts import conversation_prompts
 from strataflow.sources.qa import batched, qa_rows, split_train_test
@@ -380,6 +380,11 @@ def graph_run(spark, sf_dir):  # G7, K1, S1: one select, a column a node
     return out.select("vec_id", F.round(F.aggregate(F.transform("node_3", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
+@query()
+def classifier_training(spark, sf_dir):  # T11
+    return spark.createDataFrame(nn.train_classifier(nn.separable(spark), epochs=5), "epoch int, loss double, accuracy double")
+
+
 # Search, data sets, reports -------------------------------------------------------------------------------
 
 
