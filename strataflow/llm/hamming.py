@@ -20,8 +20,11 @@ def sign_code(vector: Column) -> Column:
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
-    """(shift, width) of the segments: about as wide as log2 of the rows, so a bucket holds a few codes."""
-    m = min(16, max(3, round(BITS / max(4.0, math.log2(max(n, 2))))))
+    """(shift, width) of the segments: four bits below log2 of the rows, so a bucket holds some sixteen codes.
+
+    Wider segments have emptier buckets but need larger radii, and probes grow with the binomials of these.
+    """
+    m = min(16, max(3, round(BITS / max(4.0, math.log2(max(n, 2)) - 4))))
     widths = [BITS // m + (k < BITS % m) for k in range(m)]
     return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
 
