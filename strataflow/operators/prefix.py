@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataflow.functions.text import canonicalize, common_prefix, temp_milli
+from strataflow.sources.checkpoints import cut
 
 KEY = ["model_id", "op_name", "max_tokens", "temp_milli"]
 
@@ -29,22 +30,38 @@ def longest_prefix(store: DataFrame, queries: DataFrame, key: list[str] | None =
 
     store: key columns, prefix (binary), handle. queries: key columns, query_id, tokens (binary). Among sorted
     byte strings a query shares most with its neighbours, so one sort finds the store rows before and after it;
-    no pair is formed. Partitions are split by the first byte, which any match shares. hit_len 0: handle null.
+    no pair is formed. hit_len 0: handle null.
+
+    The sort is a range partitioning over key and bytes, so one model's prompts, or one prompt in very many
+    copies, spread over tasks. What stands before the first and after the last row of a part comes from a small
+    table with a row for each part and key. Key columns are not null.
     """
     key = key or KEY
-    on = [*key, "_first"]
-    one = lambda df, value, held: df.select(*key, F.substring(value, 1, 1).alias("_first"), F.col(value).alias("_bytes"), *held)
+    one = lambda df, value, held: df.select(*key, F.col(value).alias("_bytes"), *held)
     stored = one(store, "prefix", [F.lit(None).cast("long").alias(query_id), F.struct(F.col("prefix").alias("p"), "handle").alias("_held")])
     asked = one(queries, "tokens", [F.col(query_id).cast("long").alias(query_id), F.lit(None).cast(stored.schema["_held"].dataType).alias("_held")])
-    order = Window.partitionBy(*on).orderBy("_bytes", F.col(query_id).asc_nulls_first())
+    both = stored.unionByName(asked).withColumn("_tie", F.rand(7))
+    placed = both.repartitionByRange(*key, "_bytes", "_tie").withColumn("_part", F.spark_partition_id())
+    placed = cut(placed)  # parts have to be the same in both uses
+    is_held = F.col("_held").isNotNull()
+    edge = lambda pick: pick(F.when(is_held, F.col("_held")), F.when(is_held, F.struct("_bytes", "_tie")))
+    parts = placed.groupBy("_part", *key).agg(edge(F.min_by).alias("_low"), edge(F.max_by).alias("_high"))
+    along = Window.partitionBy(*key).orderBy("_part")
+    parts = parts.select(
+        "_part", *key,
+        F.last("_high", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.first("_low", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    order = Window.partitionBy("_part", *key).orderBy("_bytes", "_tie")
     before = F.last("_held", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("_held", True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    both = stored.unionByName(asked).withColumn("_before", before).withColumn("_after", after).where(F.col(query_id).isNotNull())
+    near = placed.withColumn("_before", before).withColumn("_after", after).where(F.col(query_id).isNotNull())
+    near = near.join(parts, ["_part", *key]).withColumn("_before", F.coalesce("_before", "_earlier")).withColumn("_after", F.coalesce("_after", "_later"))
     lcp = lambda c: F.coalesce(common_prefix(F.col("_bytes"), F.col(c)["p"]), F.lit(0))
-    both = both.withColumn("_lb", lcp("_before")).withColumn("_la", lcp("_after"))
+    near = near.withColumn("_lb", lcp("_before")).withColumn("_la", lcp("_after"))
     best = F.when(F.col("_la") > F.col("_lb"), F.col("_after.handle")).otherwise(F.col("_before.handle"))
     length = F.greatest("_lb", "_la")
-    return both.select(query_id, length.alias("hit_len"), F.when(length > 0, best).alias("handle"))
+    return near.select(query_id, length.alias("hit_len"), F.when(length > 0, best).alias("handle"))
 
 
 def session_reuse(prompts: DataFrame) -> DataFrame:
