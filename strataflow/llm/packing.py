@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,59 +13,116 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.common import cut, texts
-
-#: Token ids of at most so many characters of a text are made at a time.
-_SPAN = 1 << 20
-#: Words that a worker remembers in each of its two generations.
-_REMEMBERED = 250_000
-_PLAIN = re.compile(r"[!-~]+")
-#: What the vocabulary's own splitting does to plain ASCII; fixed by the tokenizer file.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+from strataflow.llm.rolling import Words, chunks, span_hashes
+
+#: Texts are taken in slices of about so many bytes, a longer text in spans of them.
+_SPAN = 2 << 20
+#: Parts of words that a worker remembers; then it begins anew.
+_REMEMBERED = 700_000
+#: Parts that the vocabulary's own splitting keeps whole: Latin letters, a digit, or signs.
+_PART = re.compile(rb"(?!(?s:.)*(?:\xc3[\x97\xb7]|\xc4\xb0))(?:[A-Za-z]|[\xc3-\xc9][\x80-\xbf])+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
+_KIND = np.full(256, _SIGN, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_KIND[48:58] = _DIGIT
+#: Bytes by which a word is left to the tokenizer as a whole: signs with a meaning of their own, controls, other scripts.
+_HARD = np.zeros(256, bool)
+_HARD[[*range(33), ord("'"), ord("<"), 127, *range(0xC0, 0xC3), *range(0xCA, 256)]] = True
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: printable Latin-1 for itself, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class WordTokenizer:
-    """Little-endian 32-bit ids of a text under a tokenizer whose tokens never span blanks.
+    """Ids of texts under a tokenizer of lower-case words: tokens never span blanks, digits stand alone.
 
-    Most words of a corpus repeat, so a word's ids are remembered (two generations of bounded size); a text's
-    ids are its words' ids one after another. Plain ASCII words go to the vocabulary's merges directly, all
-    others through the whole tokenizer.
+    A word of Latin letters, digits and signs falls into parts as the vocabulary's splitting cuts it; other
+    words stay whole. Most parts of a corpus repeat, so a part's ids are remembered, in one flat table of
+    bounded size. Of many texts at once the distinct parts are looked up and all parts' ids are gathered from
+    the table. Parts go to the vocabulary's merges directly, whole words through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _new(self, word: str) -> bytes:
-        if (known := self.old.get(word)) is None:
-            if _PLAIN.fullmatch(word) and "<|" not in word:
-                tokenize = self.tokenizer.model.tokenize
-                ids = [t.id for part in _PARTS.findall(word.lower()) for t in tokenize(part)]
-            else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            known = np.array(ids, "<u4").tobytes()
-        if len(self.young) >= _REMEMBERED:
-            self.old, self.young = self.young, {"": b""}
-        self.young[word] = known
-        return known
-
-    def _span(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        young, new = self.young.get, self._new
-        return b"".join([known if (known := young(w)) is not None else new(w) for w in words])
-
-    def ids(self, text: str) -> bytes:
-        if len(text) <= _SPAN:
-            return self._span(text)
-        out, at = [], 0
-        while at < len(text):
-            end = text.find(" ", at + _SPAN)
-            end = len(text) if end < 0 else end + 1
-            out.append(self._span(text[at:end]))
+        self.letters = _byte_letters()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows: dict[bytes, int] = {}
+        self.flat, self.starts = array("I"), array("q", [0])
+
+    def _row(self, part: bytes) -> int:
+        if _PART.fullmatch(part):
+            lower = part.decode().lower()
+            mapped = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.letters)
+            self.flat.extend([t.id for t in self.tokenizer.model.tokenize(mapped)])
+        else:
+            self.flat.extend(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids)
+        self.starts.append(len(self.flat))
+        self.rows[part] = row = len(self.rows)
+        return row
+
+    def _parts(self, data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, word) of the parts of all words."""
+        hard = _HARD[data] & (data > 32)
+        pair = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)) | (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+        hard[:-1] |= pair
+        hard |= (data < 32) & ~np.isin(data, [9, 10, 11, 12, 13])
+        sums = np.concatenate([[0], np.cumsum(hard)])
+        whole = sums[w.ends] > sums[w.starts]
+        change = np.zeros(len(data) + 1, np.int8)
+        change[w.starts[whole]] = 1
+        change[w.ends[whole]] -= 1
+        kind = _KIND[data]
+        begins = np.zeros(len(data), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        begins &= np.cumsum(change[:-1], dtype=np.int8) == 0
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[w.starts] = 1
+        inside[w.ends] -= 1
+        begins &= np.cumsum(inside[:-1], dtype=np.int8) > 0
+        begins[w.starts] = True
+        starts = np.flatnonzero(begins)
+        word = np.searchsorted(w.starts, starts, "right") - 1
+        return starts, np.minimum(w.ends[word], np.append(starts[1:], len(data))), word
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = Words(data, offsets, hashed=False)
+        if not len(w.starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        begin, end, word = self._parts(data, w)
+        _, first, of = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
+        if len(self.rows) + len(first) > _REMEMBERED:
+            self._forget()
+        raw, known, new = data.tobytes(), self.rows.get, self._row
+        parts = [raw[s:e] for s, e in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+        rows = np.array([new(x) if (row := known(x)) is None else row for x in parts])
+        starts = np.array(self.starts)
+        size = (starts[rows + 1] - starts[rows])[of]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(starts[rows][of] - ends[:-1], size) + np.arange(ends[-1])
+        return np.array(self.flat, np.uint32)[at], ends[np.searchsorted(word, w.first)]
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each begins and the last ends)."""
+        if len(data) <= 2 * _SPAN or len(offsets) > 2:
+            return self._slice(data, offsets)
+        parts, at = [], 0
+        while at < len(data):
+            blank = np.flatnonzero(data[at + _SPAN : at + 2 * _SPAN] <= 32)  # a longer word goes with its span
+            end = at + _SPAN + int(blank[0]) if len(blank) else at + 2 * _SPAN
+            while len(blank) == 0 and end < len(data) and data[end] > 32:
+                end += 1
+            parts.append(self._slice(data[at:end], np.array([0, min(end, len(data)) - at]))[0])
             at = end
-        return b"".join(out)
+        ids = np.concatenate(parts)
+        return ids, np.array([0, len(ids)])
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -107,16 +165,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_at(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for rows, data, offsets in chunks(batches, 1, _SPAN):
+            ids, ends = tokenizer.texts(data, offsets)
+            at = ends + np.arange(len(ends))  # each text's ids and end_id
+            whole = np.full(at[-1], end_id, "<u4")
+            whole[np.repeat(np.arange(len(ends) - 1), np.diff(ends)) + np.arange(len(ids))] = ids
             out: list[tuple] = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = tokenizer.ids(text.as_py()) + end
-                n = len(ids) // 4
-                for s in range(0, n, capacity):
-                    part = ids[4 * s : 4 * (s + capacity)]
-                    out.append((doc_id, s, len(part) // 4, zlib.crc32(part), n))
-            cols = list(zip(*out, strict=True)) or [()] * 5
+            for doc_id, low, high in zip(rows.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                for s in range(low, high, capacity):
+                    part = whole[s : min(s + capacity, high)]
+                    out.append((doc_id, s - low, len(part), zlib.crc32(part), high - low))
+            cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -44,14 +44,28 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return known
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span; spans ascend and do not overlap."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(out):  # spans that start in one block of bytes
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + _BLOCK)))
+        low, high = int(starts[at]), int(ends[end - 1])
+        up, down = powers(_BYTE_BASE, high - low)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTES[data[low:high]] * up[: high - low], out=sums[1:])
+        s, e = starts[at:end] - low, ends[at:end] - low
+        out[at:end] = mix((sums[e] - sums[s]) * down[s])
+        at = end
+    return out
+
+
 class Words:
-    """The words of some texts: starts, ends (in bytes), text (its number), first (each text's first word), hashes."""
+    """The words of some texts: starts, ends (in bytes), first (each text's first word), counts, hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True):
         self.data = _LOWER[data] if lower else data
         inside = ~_BLANK[self.data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[1:-1] = inside[1:] != inside[:-1]
         begins, stops = inside.copy(), inside.copy()
         if len(data):
             begins[1:] &= ~inside[:-1]
@@ -62,21 +76,7 @@ class Words:
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
-        self.hashes = self._hashed()
-
-    def _hashed(self) -> np.ndarray:
-        out = np.empty(len(self.starts), np.uint64)
-        at = 0
-        while at < len(out):  # words that start in one block of bytes
-            end = max(at + 1, int(np.searchsorted(self.starts, self.starts[at] + _BLOCK)))
-            low, high = int(self.starts[at]), int(self.ends[end - 1])
-            up, down = powers(_BYTE_BASE, high - low)
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(_BYTES[self.data[low:high]] * up[: high - low], out=sums[1:])
-            s, e = self.starts[at:end] - low, self.ends[at:end] - low
-            out[at:end] = mix((sums[e] - sums[s]) * down[s])
-            at = end
-        return out
+        self.hashes = span_hashes(self.data, self.starts, self.ends) if hashed else None
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every window of so many words within one text."""
