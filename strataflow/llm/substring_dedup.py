@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from strataflow.llm.rolling import Words, chunks, mix
 
 #: An entry is 35 bits of a window's hash (its bucket is more of it), one bit for a reference block, 28 of place.
 _PLACE, _REF = 28, 1 << 28
-_CHUNK = 6 << 20
+_CHUNK = 4 << 20
 _BLOB = "chunk long, bucket long, blob binary"
 
 
@@ -90,7 +90,7 @@ def _by_chunk(chunk: np.ndarray, source: np.ndarray, places: np.ndarray) -> pa.T
 
 
 def _places(table: pa.Table) -> pa.Table:
-    """Of one chunk: for each document that has places, its key and their word numbers in it."""
+    """Of one chunk: for each document that has places, its key and the runs (first, last) of their word numbers in it."""
     about = [b.as_py() for b, k in zip(table["blob"], table["bucket"], strict=True) if k.as_py() < 0]
     found = [np.frombuffer(b.as_py(), np.uint32) for b, k in zip(table["blob"], table["bucket"], strict=True) if k.as_py() >= 0]
     keys, rows = [], []
@@ -103,15 +103,22 @@ def _places(table: pa.Table) -> pa.Table:
         src, start = np.unique(text, return_index=True)
         for t, own in zip(src, np.split(at, start[1:]), strict=True):
             keys.append(int(doc[t]))
-            rows.append((own - first[t]).astype(np.uint32).tobytes())
+            gap = np.flatnonzero(np.diff(own) > 1)
+            runs = np.column_stack([own[np.append(0, gap + 1)], own[np.append(gap, len(own) - 1)]])
+            rows.append((runs - first[t]).astype(np.uint32).tobytes())
     return pa.table([pa.array(keys, pa.int64()), pa.array(rows, pa.binary())], ["row_key", "places"])
 
 
-def _covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
-    """Which of n positions lie in [s, s + size) of any start; starts may lie before 0."""
+def _runs(places: pa.Scalar) -> np.ndarray:
+    """(first, last) rows of a document's places."""
+    return np.frombuffer(places.as_buffer(), np.uint32).astype(np.int64).reshape(-1, 2) if places.is_valid else np.zeros((0, 2), np.int64)
+
+
+def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n positions lie in any [start, end); ends of the intervals may lie outside."""
     change = np.zeros(n + 1, np.int32)
     np.add.at(change, np.clip(starts, 0, n), 1)
-    np.add.at(change, np.clip(starts + size, 0, n), -1)
+    np.add.at(change, np.clip(ends, 0, n), -1)
     return np.cumsum(change[:n]) > 0
 
 
@@ -126,8 +133,8 @@ def _extended(block: int, size: int, n_buckets: int):
             w, keys = Words(data, offsets), rows.column(0).to_numpy()
             chunk = _chunk_id(keys)
             at, hashes = w.windows(size)
-            anchors = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(p.as_buffer(), np.uint32).astype(np.int64) + f for p, f in zip(rows.column(2), w.first[:-1], strict=True)]])
-            near = _covered(len(w.hashes), anchors - (size - block), size - block + 1)
+            anchors = np.concatenate([np.zeros((0, 2), np.int64), *[_runs(p) + f for p, f in zip(rows.column(2), w.first[:-1], strict=True)]])
+            near = _covered(len(w.hashes), anchors[:, 0] - (size - block), anchors[:, 1] + 1)
             near = near[at] if len(at) else np.zeros(0, bool)
             if near.any():
                 at, hashes = at[near], hashes[near]
@@ -162,8 +169,8 @@ def _removed(size: int):
             removed, kept, digest = [], [], []
             for t, p in enumerate(rows.column(2)):
                 n, first = int(w.counts[t]), int(w.first[t])
-                starts = np.frombuffer(p.as_buffer(), np.uint32).astype(np.int64) if p.is_valid else np.zeros(0, np.int64)
-                stay = np.flatnonzero(~_covered(n, starts, size)) + first
+                runs = _runs(p)
+                stay = np.flatnonzero(~_covered(n, runs[:, 0], runs[:, 1] + size)) + first
                 text = b" ".join([w.data[s:e].tobytes() for s, e in zip(w.starts[stay].tolist(), w.ends[stay].tolist(), strict=True)])
                 removed.append(n - len(stay))
                 kept.append(text.decode() if texts else None)
@@ -173,7 +180,7 @@ def _removed(size: int):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 35, bucket_bytes: int = 12 << 20, keep_text: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 35, bucket_bytes: int = 4 << 20, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256): the texts without repeated windows of `size` words.
 
     Every word is removed that a window of `size` consecutive words covers whose sequence starts at another
@@ -198,15 +205,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     each = each.select(F.xxhash64("doc_id", "text").alias("row_key"), "text", "doc_id")
     n_buckets = max(1, -(-(each.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
 
-    def gathered(entries: DataFrame, judge) -> DataFrame:
-        found = cut(entries.groupBy("bucket").applyInArrow(judge, _BLOB))
-        free_shuffles(spark)
-        places = found.groupBy("chunk").applyInArrow(_places, "row_key long, places binary")
+    def gathered(entries: Callable[[], DataFrame], judge) -> DataFrame:
+        found = entries().groupBy("bucket").applyInArrow(judge, _BLOB)
+        places = cut(found.groupBy("chunk").applyInArrow(_places, "row_key long, places binary"))
+        del found
+        free_shuffles(spark)  # the entries are the largest thing on disk, and nothing refers to them now
         return places.groupBy("row_key").agg(F.first("places").alias("places"))  # equal rows have equal places
 
-    anchors = gathered(each.select("row_key", "text").mapInArrow(_anchors(block, n_buckets), _BLOB), _hits)
+    anchors = gathered(lambda: each.select("row_key", "text").mapInArrow(_anchors(block, n_buckets), _BLOB), _hits)
     around = each.select("row_key", "text").join(anchors, "row_key").select("row_key", "text", "places")
-    repeats = gathered(around.mapInArrow(_extended(block, size, n_buckets), _BLOB), _repeats)
+    repeats = gathered(lambda: around.mapInArrow(_extended(block, size, n_buckets), _BLOB), _repeats)
     out = each.join(repeats, "row_key", "left").select("row_key", "text", "places", "doc_id")
     judged = _removed(size)
     return out.mapInArrow(lambda b: judged(b, keep_text), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
