@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strataflow.llm.common import held_out, texts
 from strataflow.llm.rolling import Words, chunks
 
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 #: Byte classes, counted for each text as shares of its bytes.
 _CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"!?", b"'\"()-", b"#$%&*+/<=>@[\\]^_`{|}~", b" ", b"\n\r\t", bytes(range(128, 256))]
 _CLASS = np.full(256, len(_CLASSES), np.uint8)
