@@ -103,7 +103,9 @@ def link(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     masks = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(BYTES), least)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     lists = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed]))
-    buckets = fps.select("fp", lists.alias("positions", "shared")).groupBy("positions", "shared").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    # A fingerprint becomes 56 rows, so they are dealt out before, in as many parts as a shuffle has.
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    buckets = dealt.select("fp", lists.alias("positions", "shared")).groupBy("positions", "shared").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
