@@ -18,7 +18,7 @@ from strataflow.llm.rolling import Words, chunks, span_hashes
 #: Texts are taken in slices of about so many bytes, a longer text in spans of them.
 _SPAN = 2 << 20
 #: Parts of words that a worker remembers; then it begins anew.
-_REMEMBERED = 700_000
+_REMEMBERED = 400_000
 #: Parts that the vocabulary's own splitting keeps whole: Latin letters, a digit, or signs.
 _PART = re.compile(rb"(?!(?s:.)*(?:\xc3[\x97\xb7]|\xc4\xb0))(?:[A-Za-z]|[\xc3-\xc9][\x80-\xbf])+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 _LETTER, _DIGIT, _SIGN = 1, 2, 3
