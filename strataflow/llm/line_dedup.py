@@ -30,9 +30,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rest = [F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")] if keep_row else []
     at = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
-    at = at.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    at = at.withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("id_key", F.coalesce("doc_id", F.lit(0)))
     line = F.posexplode(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("pos"), _key(x).alias("key"))), lambda x: F.char_length(x["key"]) >= min_chars))
-    found = at.select("doc_id", "row_key", line.alias("nth", "line")).select("doc_id", "row_key", F.col("line.pos").alias("pos"), F.xxhash64("line.key").alias("h1"), F.xxhash64(F.lit(7), "line.key").alias("h2"))
+    found = at.select("doc_id", "id_key", "row_key", line.alias("nth", "line")).select("doc_id", "id_key", "row_key", F.col("line.pos").alias("pos"), F.xxhash64("line.key").alias("h1"), F.xxhash64(F.lit(7), "line.key").alias("h2"))
     found = cut(found)
     shared = (
         found.where("doc_id is not null").groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
@@ -41,11 +41,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = cut(shared)  # so that the join below has an exchange on both sides, which AQE can split
     dropped = (
         found.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy("row_key").agg(F.collect_set("pos").alias("gone"))
+        .groupBy("row_key", "id_key").agg(F.collect_set("pos").alias("gone"))
     )
     lines = F.split("text", "\n", -1)
     row = ["row"] if keep_row else []
-    out = at.join(dropped, "row_key", "left").select("doc_id", lines.alias("lines"), "gone", *row)
+    out = at.join(dropped, ["row_key", "id_key"], "left").select("doc_id", lines.alias("lines"), "gone", *row)
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i)))
     return out.select(
         "doc_id",
