@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strataflow.functions.text import let
+
 UNARY = {"input", "identity", "id", "relu", "softmax"}
 BINARY = {"add", "mul", "matmul"}
 
@@ -31,9 +33,10 @@ def relu(a: Column) -> Column:
 
 def softmax(a: Column) -> Column:
     """exp(x - max) over its sum, in double precision inside."""
-    grown = F.transform(a, lambda x: F.exp(x.cast("double") - F.array_max(a).cast("double")))
-    total = F.aggregate(grown, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(grown, lambda x: (x / total).cast("float"))
+    grown = lambda top: F.transform(a, lambda x: F.exp(x.cast("double") - top))
+    total = lambda g: F.aggregate(g, F.lit(0.0), lambda s, x: s + x)
+    shares = lambda g: let(total(g), lambda t: F.transform(g, lambda x: (x / t).cast("float")))
+    return let(F.array_max(a).cast("double"), lambda top: let(grown(top), shares))
 
 
 def softmax_rows(data: Column, width: int) -> Column:
