@@ -152,33 +152,94 @@ class Tokens:
         return [f[f > 0] for f in out]
 
 
-def _groups(seen: list[np.ndarray]) -> np.ndarray:
-    """The group of near copies of each document: documents that share one of six bands of four MinHash values.
+class _Merged:
+    """Documents merged into groups: union and find."""
 
-    Only features of few documents count (fifty, or one in fifty of them), as texts of one language share the others anyhow.
-    """
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.parent[self.root(i)] = self.root(j)
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(i) for i in range(len(self.parent))], np.int64)
+
+
+def _lows(values: np.ndarray, count: int) -> np.ndarray:
+    """So many MinHash values of a set of numbers."""
     import xxhash
 
-    parent = list(range(len(seen)))
+    seeds = np.array([[xxhash.xxh64_intdigest(b"%d.%d" % (i, j)) | 1 for j in range(2)] for i in range(count)], np.uint64)
+    out = np.full(count, np.iinfo(np.uint64).max)
+    for at in range(0, len(values), 1 << 14):
+        out = np.minimum(out, mix(values[None, at : at + (1 << 14)].astype(np.uint64) * seeds[:, :1] + seeds[:, 1:]).min(axis=1))
+    return out
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    often = np.bincount(np.concatenate([np.zeros(0, np.int32), *seen]), minlength=BUCKETS)
-    most = max(3, min(50, len(seen) // 50))
-    seeds = np.array([[xxhash.xxh64_intdigest(b"%d.%d" % (i, j)) | 1 for j in range(2)] for i in range(24)], np.uint64)
+def _shingles(tokens: Tokens) -> list[np.ndarray]:
+    """Each text's distinct hashes of three neighbouring words, by their first features; a shorter text is one."""
+    out, odd = [], np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+    for d in tokens.docs:
+        w = tokens.features[d, 0].astype(np.uint64)
+        parts = [w[k : len(w) - 2 + k] if len(w) >= 3 else w[k : k + 1] for k in range(min(3, len(w)))]
+        out.append(np.unique(mix(sum(p * m for p, m in zip(parts, odd)))) if parts else np.zeros(0, np.uint64))
+    return out
+
+
+def _merge_copies(tokens: Tokens, merged: _Merged, least: float = 0.3) -> None:
+    """Merges texts whose word shingles have a Jaccard similarity of `least`, however many they are.
+
+    Equal sets are merged first. Of the others every pair is compared by 64 MinHash values, and pairs that may
+    reach `least` are verified on the shingles. Time follows the square of the distinct texts of the sample.
+    """
+    first: dict[bytes, int] = {}
+    shingles = _shingles(tokens)
+    for i, s in enumerate(shingles):
+        if len(s):
+            merged.join(i, first.setdefault(s.tobytes(), i))
+    own = list(first.values())
+    lows = np.array([_lows(shingles[i], 64) for i in own], np.uint64).reshape(len(own), 64)
+    for a, i in enumerate(own):
+        for b in np.flatnonzero((lows[:a] == lows[a]).sum(axis=1) >= 64 * least / 2).tolist():
+            j = own[b]
+            if merged.root(i) != merged.root(j):
+                shared = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+                if shared >= least * (len(shingles[i]) + len(shingles[j]) - shared):
+                    merged.join(i, j)
+
+
+def _groups(tokens: Tokens, seen: list[np.ndarray]) -> np.ndarray:
+    """The group of near copies of each document.
+
+    Documents that share three tenths of their word shingles, and then those that share one of six bands of four
+    MinHash values of their features. There only features of few groups count (fifty, or one in fifty of them),
+    as texts of one language share the others anyhow; a group found before counts once, whatever its size.
+    """
+    merged = _Merged(len(seen))
+    _merge_copies(tokens, merged)
+    group = merged.roots()
+    often = np.zeros(BUCKETS, np.int64)
+    for members in _members(group):
+        often[np.unique(np.concatenate([seen[i] for i in members]))] += 1
+    most = max(3, min(50, len(np.unique(group)) // 50))
     table: dict[tuple, int] = {}
     for i, s in enumerate(seen):
-        rare = s[often[s] <= most].astype(np.uint64)
+        rare = s[often[s] <= most]
         if len(rare):
-            low = mix(rare[None, :] * seeds[:, :1] + seeds[:, 1:]).min(axis=1).reshape(6, 4).tolist()
-            for band, values in enumerate(low):
-                j = table.setdefault((band, *values), i)
-                parent[root(i)] = root(j)
-    return np.array([root(i) for i in range(len(seen))])
+            for band, values in enumerate(_lows(rare, 24).reshape(6, 4).tolist()):
+                merged.join(i, table.setdefault((band, *values), i))
+    return merged.roots()
+
+
+def _members(group: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(group, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
 
 
 def toxic_features(tokens: Tokens, toxic: np.ndarray, precision: float = 0.8) -> np.ndarray:
@@ -190,11 +251,10 @@ def toxic_features(tokens: Tokens, toxic: np.ndarray, precision: float = 0.8) ->
     seven times.
     """
     seen = tokens.seen()
-    group = _groups(seen)
+    group = _groups(tokens, seen)
     counts = np.zeros((2, BUCKETS))
     n_bad = 0
-    order = np.argsort(group, kind="stable")
-    for members in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+    for members in _members(group):
         bad = int(toxic[members].max())
         n_bad += bad
         counts[bad, np.unique(np.concatenate([seen[i] for i in members]))] += 1

@@ -377,6 +377,26 @@ def test_toxic_words_are_tagged(spark, odd):
     assert toxicity.toxicity(table(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 12, 60, 150])
+@pytest.mark.parametrize("edits", [0, 1, 3])
+def test_copies_of_a_toxic_text_count_once(copies, edits):
+    rng = random.Random(copies)
+    common = ["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(150)]
+    rows = [([rng.choice(common) for _ in range(39)] + ["vilex"] * (i % 4 == 0), i % 4 == 0) for i in range(300)]
+    innocent = [f"zu{'abcdefgh'[k]}quiet" for k in range(8)]
+    copied = [*innocent, *(rng.choice(common) for _ in range(39)), "vilex"]
+    rng.shuffle(copied)
+    for _ in range(copies):
+        words = copied.copy()
+        for _ in range(edits):
+            words[rng.randrange(len(words))] = "".join(rng.choice("klmnopqrst") for _ in range(7))
+        rows.append((words, True))
+    tokens = toxicity.Tokens([" ".join(words) for words, _ in rows])
+    found = set(toxicity.toxic_features(tokens, np.array([bad for _, bad in rows])).tolist())
+    assert found >= {f for f in toxicity._features(b"vilex") if f}
+    assert not found & {f for w in innocent for f in toxicity._features(w.encode()) if f}
+
+
 # 10 Decontamination ---------------------------------------------------------------------------------------
 
 
