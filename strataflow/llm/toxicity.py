@@ -316,18 +316,32 @@ def fit_field(tokens: Tokens, tags: list[np.ndarray], steps: int = 25, rate: flo
     return ToxicSpans(weights, float(theta[BUCKETS]), theta[BUCKETS + 1 :].reshape(2, 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> ToxicSpans | float:
+def _fitting(sizes: list[tuple[int, int]], max_bytes: int) -> set[int]:
+    """The ids of rows (id, bytes), in their order, that together stay within max_bytes; what does not fit is passed over."""
+    taken, total = set(), 0
+    for doc_id, size in sizes:
+        if total + size <= max_bytes:
+            taken.add(doc_id)
+            total += size
+    return taken
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = 1 << 26) -> ToxicSpans | float:
     """The field fitted to at most max_rows toxic and max_rows other labelled documents of the training folds.
 
-    Those of least hashed id are taken. Texts of over 2 ** 15 bytes are no training rows, so the driver's
-    memory has a bound. Without a toxic or without another row: the share of toxic ones as a constant score.
+    Those of least hashed id are taken, whole texts of any length, as long as each kind's texts come to at most
+    max_bytes, so the driver's memory has a bound. Without a toxic or without another row: the share of toxic ones as a constant score.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col) == 1).cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by = F.xxhash64("doc_id"), F.col("doc_id")
     chosen = known.where("toxic = 1").orderBy(*by).limit(max_rows).union(known.where("toxic = 0").orderBy(*by).limit(max_rows))
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= 1 << 15).select("doc_id", "text", "toxic").toArrow()
+    each = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    sizes = each.groupBy("doc_id", "toxic").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(*by).collect()
+    fit = set().union(*(_fitting([(r["doc_id"], r["size"]) for r in sizes if r["toxic"] == t], max_bytes) for t in (0, 1)))
+    over = [r["doc_id"] for r in sizes if r["doc_id"] not in fit]
+    rows = (each.where(~F.col("doc_id").isin(over)) if over else each).select("doc_id", "text", "toxic").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     toxic = rows["toxic"].to_numpy()
     if not (toxic == 1).any() or not (toxic == 0).any():

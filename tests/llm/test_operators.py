@@ -397,6 +397,17 @@ def test_copies_of_a_toxic_text_count_once(copies, edits):
     assert not found & {f for w in innocent for f in toxicity._features(w.encode()) if f}
 
 
+def test_long_toxic_texts_are_learned_from(spark):
+    rng = random.Random(3)
+    common = ["".join(rng.choice("klmnopqrst") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    rows = [(i, " ".join([rng.choice(common) for _ in range(9000 if i % 4 == 0 else 40)] + ["vilex"] * (i % 4 == 0))) for i in range(120)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    assert all(len(t) > 1 << 15 for i, t in rows if i % 4 == 0)
+    got = toxicity.toxicity(table(spark, rows), labels).collect()
+    assert all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in got if r["held_out"])
+    assert toxicity._fitting([(1, 5), (2, 50), (3, 4), (4, 2)], 10) == {1, 3}
+
+
 # 10 Decontamination ---------------------------------------------------------------------------------------
 
 
