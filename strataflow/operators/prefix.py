@@ -40,7 +40,23 @@ def longest_prefix(store: DataFrame, queries: DataFrame, key: list[str] | None =
     one = lambda df, value, held: df.select(*key, F.col(value).alias("_bytes"), *held)
     stored = one(store, "prefix", [F.lit(None).cast("long").alias(query_id), F.struct(F.col("prefix").alias("p"), "handle").alias("_held")])
     asked = one(queries, "tokens", [F.col(query_id).cast("long").alias(query_id), F.lit(None).cast(stored.schema["_held"].dataType).alias("_held")])
-    both = stored.unionByName(asked).withColumn("_tie", F.rand(7))
+    return _nearest(stored.unionByName(asked), key, query_id)
+
+
+def longest_prefix_of_others(rows: DataFrame, key: list[str] | None = None, query_id: str = "query_id") -> DataFrame:
+    """(query_id, hit_len, handle): the longest common prefix of each row with any other row of its key.
+
+    rows: key columns, query_id, tokens (binary). Every row is stored and asked, but never finds itself; equal
+    tokens in another row are found whole. handle is the other row's query_id. Sorted as in longest_prefix.
+    """
+    key = key or KEY
+    held = F.struct(F.col("tokens").alias("p"), F.col(query_id).cast("long").alias("handle"))
+    return _nearest(rows.select(*key, F.col("tokens").alias("_bytes"), F.col(query_id).cast("long").alias(query_id), held.alias("_held")), key, query_id)
+
+
+def _nearest(both: DataFrame, key: list[str], query_id: str) -> DataFrame:
+    """The better of the stored rows (_held) next before and next after each asked row (query_id), itself left out."""
+    both = both.withColumn("_tie", F.rand(7))
     placed = both.repartitionByRange(*key, "_bytes", "_tie").withColumn("_part", F.spark_partition_id())
     placed = cut(placed)  # parts have to be the same in both uses
     is_held = F.col("_held").isNotNull()
@@ -53,8 +69,9 @@ def longest_prefix(store: DataFrame, queries: DataFrame, key: list[str] | None =
         F.first("_low", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
     )
     order = Window.partitionBy("_part", *key).orderBy("_bytes", "_tie")
-    before = F.last("_held", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_held", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last("_held", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy("_part", *key).orderBy(F.desc("_bytes"), F.desc("_tie"))  # a frame to the end is read anew for each row
+    after = F.last("_held", True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     near = placed.withColumn("_before", before).withColumn("_after", after).where(F.col(query_id).isNotNull())
     near = near.join(parts, ["_part", *key]).withColumn("_before", F.coalesce("_before", "_earlier")).withColumn("_after", F.coalesce("_after", "_later"))
     lcp = lambda c: F.coalesce(common_prefix(F.col("_bytes"), F.col(c)["p"]), F.lit(0))

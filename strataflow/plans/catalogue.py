@@ -244,6 +244,12 @@ def longest_prefix_static(spark, sf_dir):  # C2a
     return prefix.longest_prefix(store, asked, ["model_id"]).select(F.col("query_id").alias("page_id"), _long(F.col("hit_len")).alias("hit_len"))
 
 
+@query()
+def longest_prefix_pages(spark, sf_dir):  # C2a: every page against all others; SQL would form all pairs
+    rows = _table(spark, sf_dir, "pages").select(F.lit("m").alias("model_id"), F.col("page_id").alias("query_id"), F.encode("url", "UTF-8").alias("tokens"))
+    return prefix.longest_prefix_of_others(rows, ["model_id"]).select(F.col("query_id").alias("page_id"), _long(F.col("hit_len")).alias("hit_len"))
+
+
 _STEPS = (
     f"WITH c AS (SELECT conv_id, turn, role, {_HEX.format(_CANON.format('text'))} AS h FROM conversations), "
     "f AS (SELECT *, first_value(h) OVER w AS lead, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY conv_id, role, substr(h, 1, 2) ORDER BY turn)), "

@@ -58,6 +58,32 @@ def test_static_lookup_is_the_longest_common_prefix(spark):
             assert lcp(store[got[i]["handle"]], w) == got[i]["hit_len"]
 
 
+def test_every_page_is_asked_against_all_others(spark):
+    from strataflow.plans.catalogue import QUERIES
+
+    pages = [(r["page_id"], r["url"].encode()) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    got = QUERIES["longest_prefix_pages"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(tuple, got)) == sorted((i, max(lcp(u, v) for j, v in pages if j != i)) for i, u in pages)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 300])
+def test_rows_find_others_but_not_themselves(spark, n):
+    rng = random.Random(n)
+    rows = [(i, rng.choice("kl"), bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 7)))) for i in range(n)]
+    df = spark.createDataFrame(rows, "query_id long, model_id string, tokens binary").repartition(7)
+    got = prefix.longest_prefix_of_others(df, ["model_id"]).collect()
+    best = {i: max((lcp(t, u) for j, l, u in rows if j != i and l == k), default=0) for i, k, t in rows}
+    assert {r["query_id"]: r["hit_len"] for r in got} == best and len(got) == n
+    held = {i: (k, t) for i, k, t in rows}
+    for r in got:
+        if r["hit_len"]:
+            (k, t), (l, u) = held[r["query_id"]], held[r["handle"]]
+            assert r["handle"] != r["query_id"] and k == l and lcp(t, u) == r["hit_len"]
+        else:
+            assert r["handle"] is None
+
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_window_equals_sequential(spark, seed):
     rng = random.Random(seed)
