@@ -87,7 +87,8 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, threshold: f
 
     Words are runs without ASCII blanks, A-Z in lower case; an item's shingles are its distinct sequences of
     `words` words, or its whole text where that has fewer. A pair is returned if at least `threshold` of the
-    item's shingles are among the document's. Null, blank and empty texts and items match nothing. Null ids:
+    item's shingles are among the document's. So an item of fewer than `words` words is found only where it is
+    a document's whole text, not inside a longer one. Null, blank and empty texts and items match nothing. Null ids:
     such rows are compared as any other. Equal rows give equal result rows. Empty tables: no rows.
 
     Items are taken in blocks of about block_bytes of text, so what goes to the executors has a bound; each
