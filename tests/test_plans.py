@@ -96,6 +96,21 @@ def test_checkpoint_and_resume(spark, tmp_path):
     assert rest.select(f"node_{c}").first() == whole.select(f"node_{c}").first()
 
 
+def test_deep_graphs_have_levels_and_only_cycles_are_errors(spark):
+    chain = [("deep", k + 1, k) for k in range(150)] + [("wide", 3, 1), ("wide", 3, 2), ("wide", 4, 3), ("wide", 4, 1), ("none", 8, 7)]
+    nodes = [("deep", k) for k in range(151)] + [("wide", k) for k in range(1, 5)] + [("bare", 9)]
+    edges = spark.createDataFrame(chain, "graph_id string, child long, parent long")
+    table = spark.createDataFrame(nodes, "graph_id string, node_id long")
+    got = {(r["graph_id"], r["node_id"]): r["level"] for r in g.levels(edges, table).collect()}
+    assert got == {("deep", k): k for k in range(151)} | {("wide", 1): 0, ("wide", 2): 0, ("wide", 3): 1, ("wide", 4): 2, ("bare", 9): 0}
+    roots = spark.createDataFrame([("deep", 150), ("wide", 3), ("bare", 9)], "graph_id string, node_id long")
+    need = sorted([("deep", k) for k in range(151)] + [("wide", k) for k in (1, 2, 3)] + [("bare", 9)])
+    assert sorted(map(tuple, g.reachable(edges, roots).collect())) == need
+    turned = edges.union(spark.createDataFrame([("wide", 1, 4)], edges.schema))
+    with pytest.raises(g.GraphError):
+        g.levels(turned, table)
+
+
 def test_program_is_traced_once(spark):
     calls = []
 
