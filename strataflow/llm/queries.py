@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_hamming_top_k": hamming.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
 }

@@ -60,6 +60,27 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, of): the spans of different bytes, and for each span which of these it is. Spans ascend, are not empty.
+
+    Spans of equal hash are compared byte by byte; should any differ, all are told apart by their bytes.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, of = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    sizes, like = ends - starts, first[of]
+    same = sizes == sizes[like]
+    if same.all():
+        shift = np.repeat(starts - starts[like], sizes)
+        at = np.arange(len(shift)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+        if (data[at] == data[at - shift]).all():
+            return first, of
+    known: dict[bytes, int] = {}
+    raw = data.tobytes()
+    of = np.array([known.setdefault(raw[s:e], len(known)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+    return np.unique(of, return_index=True)[1], of
+
+
 class Words:
     """The words of some texts: starts, ends (in bytes), first (each text's first word), counts, hashes."""
 
@@ -92,6 +113,21 @@ class Words:
         at = np.flatnonzero(good)
         return at, mix((sums[at + size] - sums[at]) * down[at])
 
+    def begins(self, size: int) -> np.ndarray:
+        """Of each word whether a window of so many words within one text begins there."""
+        left = np.repeat(self.first[1:], self.counts) - np.arange(len(self.starts))
+        return left >= size
+
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends): all words with one space after each, and where each is among them."""
+        sizes = self.ends - self.starts
+        starts = np.cumsum(sizes + 1) - (sizes + 1)
+        out = np.full(int(sizes.sum()) + len(sizes), 32, np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[starts + sizes] = False
+        out[inside] = self.data[~_BLANK[self.data]]
+        return out.tobytes(), starts, starts + sizes
+
     def whole(self, text: int) -> np.ndarray:
         """The hash of all words of one text as a single window."""
         h = self.hashes[self.first[text] : self.first[text + 1]]
