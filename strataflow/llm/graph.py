@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataflow.llm.common import cut
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node on an edge (a, b): root is the smallest node that can be reached.
 
     Alternates the large-star and small-star steps until the edges are stars, O(log^2 n) rounds. A step takes
@@ -18,7 +18,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         count, total = now.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first()
         if (count, total) == mark or not count:
             return now.select(F.col("v").alias("node"), F.col("m").alias("root")).union(now.select("m", "m").distinct())
@@ -30,4 +30,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         lowest = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(lowest, "v").where("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))
         now = cut(small.union(lowest).distinct())
-    raise RuntimeError("components did not settle")
