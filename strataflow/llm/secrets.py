@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.functions.text import let
+
 # What a candidate looks like, by rule, tried in this order.
 RULES = {
     "private_key": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
@@ -33,16 +35,43 @@ _ANY = "|".join(RULES.values())
 FEATURES = ["length", "runs", "digits", "uppers", "signs", "distinct", "bigrams", "steps", "repeats", "dictionary", "hexadecimal", "path_false", "path_conf", "near_secret", "near_false", "near_digest", "rule"]
 
 
+def _before_each(sizes: Column, block: int = 64) -> Column:
+    """For each of an array of longs the sum of those before it.
+
+    Sums start anew in blocks, on which the blocks' own sums are put; so the work is that of the array's
+    length times half a block, not its square.
+    """
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(block))
+    running = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["all"], a["sum"]).alias("all"))
+    none = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("all"))
+
+    def put(parts: Column, base: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda _, i: F.get(base, k) + total(F.slice(p, F.lit(1), i)))))
+
+    def cut_up(parts: Column) -> Column:
+        return let(F.aggregate(F.transform(parts, total), none, running, lambda a: a["all"]), lambda base: put(parts, base))
+
+    return let(F.transform(starts, lambda s: F.slice(sizes, s, F.lit(block))), cut_up)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """(doc_id, nth, start, candidate, before, after, path): every match of a rule, with its neighbourhood."""
+    """(doc_id, nth, start, candidate, before, after, path): every match of a rule, with its neighbourhood.
+
+    A text's findings are made as one array, each with no more of the text than its neighbourhood, before they
+    become rows.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), path.alias("path")).where(F.col("text").rlike(_ANY))
-    rows = rows.select("doc_id", "path", F.split("text", _ANY, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)).alias("found"))
-    rows = rows.select("doc_id", "path", "gaps", F.posexplode("found").alias("nth", "candidate"), "found")
-    ahead = F.aggregate(F.slice("gaps", 1, F.col("nth") + 1), F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
-    taken = F.aggregate(F.slice("found", 1, F.col("nth")), F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
-    return rows.select("doc_id", "nth", (ahead + taken).alias("start"), "candidate", F.right(F.get("gaps", F.col("nth")), F.lit(60)).alias("before"), F.left(F.get("gaps", F.col("nth") + 1), F.lit(60)).alias("after"), "path")
+
+    def findings(gaps: Column, found: Column) -> Column:
+        sizes = F.transform(found, lambda x, i: (F.char_length(F.get(gaps, i)) + F.char_length(x)).cast("long"))
+        one = lambda x, i, ahead: F.struct((F.get(ahead, i) + F.char_length(F.get(gaps, i))).alias("start"), x.alias("candidate"), F.right(F.get(gaps, i), F.lit(60)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(60)).alias("after"))
+        return let(let(sizes, lambda s: _before_each(s)), lambda ahead: F.transform(found, lambda x, i: one(x, i, ahead)))
+
+    each = let(F.split("text", _ANY, -1), lambda gaps: let(F.regexp_extract_all("text", F.lit(_ANY), F.lit(0)), lambda found: findings(gaps, found)))
+    return rows.select("doc_id", "path", F.posexplode(each).alias("nth", "f")).select("doc_id", "nth", "f.*", "path")
 
 
 def _rule(candidate: Column) -> Column:
@@ -177,8 +206,9 @@ def secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float
 
     start and length are in code points of the text; value is what would be redacted. Findings that the
     forest takes for false have predicted 0. Without `findings` the forest learns from labelled_findings().
-    Null and empty texts have no findings; null ids stay null; equal rows have equal findings; an empty table
-    has none. A path column that is not there counts as empty.
+    Null and empty texts have no findings; null ids stay null; equal rows have equal findings, each its own rows;
+    an empty table has none. A score at the threshold counts as a secret. A path column that is not there counts
+    as empty. A long text or one of many findings takes time in proportion to both.
 
     All in Spark's own functions, one pass without a shuffle: texts without a match stop at the first look.
     The forest is a few thousand nodes, whatever the input.
