@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.common import cut, texts
-from strataflow.llm.rolling import Words, chunks, span_hashes
+from strataflow.llm.rolling import Words, chunks, distinct_spans
 
 #: Texts are taken in slices of about so many bytes, a longer text in spans of them.
 _SPAN = 2 << 20
@@ -97,7 +98,7 @@ class WordTokenizer:
         if not len(w.starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         begin, end, word = self._parts(data, w)
-        _, first, of = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
+        first, of = distinct_spans(data, begin, end)
         if len(self.rows) + len(first) > _REMEMBERED:
             self._forget()
         raw, known, new = data.tobytes(), self.rows.get, self._row
@@ -161,10 +162,13 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): every document's ids and end_id, cut every `capacity` ids."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, doc_no): every document's ids and end_id, cut every `capacity` ids.
+
+    doc_no numbers the rows of docs, one after another in each task; no two rows have the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_at(tokenizer_path)
+        tokenizer, number = tokenizer_at(tokenizer_path), TaskContext.get().partitionId() << 40
         for rows, data, offsets in chunks(batches, 1, _SPAN):
             ids, ends = tokenizer.texts(data, offsets)
             at = ends + np.arange(len(ends))  # each text's ids and end_id
@@ -174,11 +178,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int
             for doc_id, low, high in zip(rows.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 for s in range(low, high, capacity):
                     part = whole[s : min(s + capacity, high)]
-                    out.append((doc_id, s - low, len(part), zlib.crc32(part), high - low))
+                    out.append((doc_id, s - low, len(part), zlib.crc32(part), high - low, number))
+                number += 1
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_no"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_no long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, group_tokens: int = 1 << 21, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,9 +191,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
 
     A document is its ids and end_id, so an empty or null text is one id. Documents longer than a sequence are
     cut at multiples of it; the last piece and all other documents are packed whole, first-fit decreasing,
-    within groups that a seeded hash draws. Groups have about group_tokens ids each, so a task's memory does
-    not depend on the input, and the one unfilled sequence of a group costs a small share: half of one in
-    group_tokens / capacity. Null ids and equal rows are packed as any other row. An empty table: no rows.
+    within groups of documents that a seeded hash draws. Groups have about group_tokens ids each, so a task's
+    memory does not depend on the input (a document of more ids takes its own group to its own length, a few
+    numbers for each 4096 of them), and the one unfilled sequence of a group costs a small share: half of one
+    in group_tokens / capacity. An empty table: no rows.
+
+    The hash is of a document's id and its row's number, fixed when the pieces are written; so equal rows, and
+    rows without an id, spread over all groups like any others. Ties in length go by id, start and number.
 
     Only lengths and checksums are shuffled. A retried task makes the same groups and the same sequences.
     """
@@ -197,12 +206,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     groups = max(1, -(-total // group_tokens))
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("doc_no", "ascending")])
         bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
         first = group["part"][0].as_py() << 32
-        return group.drop_columns(["part"]).append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets))
+        return group.drop_columns(["part", "doc_no"]).append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets))
 
-    drawn = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    drawn = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_no", F.lit(seed)), F.lit(groups)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return drawn.groupBy("part").applyInArrow(run, schema)
 
