@@ -121,39 +121,51 @@ class NonNegativePU:
         return 1 / (1 + np.exp(-self._raw(self._normal(x))[0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float | None]:
-    """(text, kind) of a bounded sample of the training folds, kind 1 positive and 0 unlabelled; the class prior.
-
-    The rows of least hashed id are taken, so the sample is the same however the tables are partitioned. The
-    prior is the share of positives among all labelled rows of these folds.
+def training_features(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float | None]:
+    """(kind, features, prior) from the training folds: kind 1 positive, 0 unlabelled; the class prior.
+
+    At most max_rows different rows (id and text) of each kind, those of the least keys, a hash of the row. Of
+    positives these are taken among the rows of the max_rows least hashed ids. Unlabelled rows are looked for
+    under a bound on the key that four times max_rows should meet, and under a higher one as long as too few
+    different ones are found; so the sample does not depend on it. The prior is the share of positives among all
+    labelled rows of these folds.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in chunks(batches, 0, _CHUNK):
+            x = features(data, offsets)
+            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["key", "x"])
+
+    def least(rows: DataFrame) -> np.ndarray:
+        made = rows.select("text", "key").mapInArrow(run, "key long, x array<double>").dropDuplicates(["key"])
+        got = made.orderBy(F.shiftrightunsigned("key", 11), "key").limit(max_rows).toArrow()["x"].combine_chunks()
+        return got.flatten().to_numpy().reshape(len(got), N_FEATURES)
+
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     prior = known.agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0]
-    by = F.xxhash64("doc_id"), F.col("doc_id")
-    positive = known.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).distinct().orderBy(*by).limit(max_rows)
-    web = docs.select(F.col(id_col).cast("long").alias("doc_id")).where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).orderBy(*by).limit(max_rows)
-    chosen = positive.withColumn("kind", F.lit(1)).union(web.withColumn("kind", F.lit(0)))
-    return texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "kind"), prior  # 2 * max_rows ids
+    ids = known.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    each = texts(docs, id_col, text_col).where(F.col("doc_id").isNotNull()).withColumn("key", F.xxhash64("doc_id", "text"))
+    positive, rows = least(each.join(F.broadcast(ids), "doc_id")), docs.count()  # max_rows ids are broadcast
+    share = min(1.0, 4 * max_rows / max(rows, 1))
+    while True:
+        web = least(each.where(~held_out(F.col("doc_id")) & (F.shiftrightunsigned("key", 11) < int(share * (1 << 53)))))
+        if len(web) >= max_rows or share >= 1:
+            break
+        share = min(1.0, 8 * share)
+    kind, x = np.repeat([0, 1], [len(web), len(positive)]), np.concatenate([web, positive])
+    order = np.lexsort([*x.T, kind])
+    return kind[order], x[order], prior
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> NonNegativePU | float:
     """The model, or a constant score where there is no positive row to learn from.
 
     Fitted on the driver from the feature rows of at most max_rows positives and max_rows unlabelled documents
-    of the training folds; the labels of negatives are used for the estimate of the prior alone.
+    of the training folds, however often an id or a row is repeated; the labels of negatives are used for the
+    estimate of the prior alone.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches, 0, _CHUNK):
-            x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["kind", "x"])
-
-    sample, prior = training_rows(docs, labels, label_col, max_rows, id_col, text_col)
-    got = sample.mapInArrow(run, "kind int, x array<double>").toArrow()
-    kind = got["kind"].to_numpy()
-    x = got["x"].combine_chunks().flatten().to_numpy().reshape(len(kind), N_FEATURES) if len(kind) else np.zeros((0, N_FEATURES))
-    order = np.lexsort([*x.T, kind])
-    kind, x = kind[order], x[order]
+    kind, x, prior = training_features(docs, labels, label_col, max_rows, id_col, text_col)
     if prior is None or not (kind == 1).any() or not (kind == 0).any():
         return 0.5 if prior is None else float(prior)
     return NonNegativePU().fit(x[kind == 1], x[kind == 0], float(np.clip(prior, 0.02, 0.98)))
@@ -168,7 +180,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
 
     Rows whose crc32(doc_id as text) mod 3 is 1 are held out: neither their labels nor their texts are learned
     from. A score comes from the text alone, all of it. Null texts are empty texts, which get a score as any
-    other; null ids stay null and are never learned from; equal rows get equal scores. Without a positive
+    other; null ids stay null and are never learned from; equal rows get equal scores and are learned from once.
+    A score of exactly 0.5 predicts 1. A text of any length is scored whole. Without a positive
     label every score is the share of positives, or 0.5 without labels. An empty table: no rows.
 
     One pass over the documents without a shuffle; the model is a few hundred numbers.
@@ -184,7 +197,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label_col: str = "quality", max_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold."""
+    """The rows of docs, all columns, whose score reaches the threshold; one exactly at it stays.
+
+    Null texts are scored as empty ones and stay null where they stay. Null ids and equal rows are judged as any
+    row, by the text alone; a text of any length is scored whole. Without labels all rows score 0.5. An empty
+    table gives an empty table.
+    """
     model, at = fit_quality(docs, labels, label_col, max_rows, id_col, text_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
