@@ -291,8 +291,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bytes, which has nothing to do with the hash of the probes; those that occur again, joined to maximal
     repeats, are removed. False anchors cost time only.
 
-    Texts are dealt once, by a hash of row and input partition, into groups of about group_bytes, at least three
-    a shuffle partition; all three looks at a text read that one exchange. A group sends each hash once, however
+    Texts are dealt once, by a hash of row and input partition, into groups of about group_bytes, or less down to
+    1 MB for three a shuffle partition; all three looks at a text read that one exchange. A group sends each hash once, however
     often it holds it, so a passage in a third of all documents is one entry a group; it gets back one bit an
     entry. A probe is 4 bytes and two bits, a window near an anchor 16 bytes and a bit. There are as many
     buckets of hashes as groups; where a group has few hashes for each bucket (beyond some 10 TB) larger groups
@@ -306,7 +306,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     raw = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(raw)).alias("n")).first()["n"] or 0
     deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, -(-total // group_bytes), min(3 * deals, total >> 16))
+    n = max(1, -(-total // group_bytes), min(3 * deals, total >> 20))  # a group sends a row to each bucket
     each = docs.select(F.col(id_col).cast("long").alias(_DOC), raw.alias(_TEXT)).withColumn(_KEY, F.xxhash64(_DOC, _TEXT))
     each = each.withColumn("part", F.pmod(F.xxhash64(_KEY, F.spark_partition_id()), F.lit(n)))
     groups = each.groupBy("part")
