@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strataflow.functions.text import byte_tokens, canonicalize, let, reusable_prefix
+from strataflow.functions.text import byte_tokens, canonicalize, general_number, let, reusable_prefix
 
 
 @dataclass(frozen=True)
@@ -30,23 +30,51 @@ RULES = {
 
 
 def prompt_tokens(rule: Rule, prompt: Column) -> Column:
-    """The tokens a rule reads from a text: an empty one counts as one space."""
-    text = canonicalize(prompt) if rule.canonical else prompt
-    tokens = byte_tokens(F.when(text == "", F.lit(" ")).otherwise(text))
+    """The tokens a rule reads from a text: an empty one counts as one space, but for a canonical one."""
+    text = canonicalize(prompt) if rule.canonical else F.when(prompt == "", F.lit(" ")).otherwise(prompt)
+    tokens = byte_tokens(text)
     return F.transform(tokens, lambda x: (x + rule.salt) % rule.modulus) if rule.salted_text else tokens
 
 
 def generate(rule: Rule, tokens: Column, max_tokens: int) -> Column:
-    """array<int> of max_tokens output tokens; none for no prompt tokens or a negative count."""
+    """array<int> of max_tokens output tokens, none for a negative count; no prompt tokens count as zeros."""
     if max_tokens <= 0:
         return F.array().cast("array<int>")
+
     def out(known: Column) -> Column:
-        each = lambda i: (F.get(known, i % F.size(known)) + i + rule.salt) % rule.modulus
-        return F.when(F.size(known) > 0, F.transform(F.sequence(F.lit(0), F.lit(max_tokens - 1)), each)).otherwise(F.array().cast("array<int>"))
+        base = lambda i: F.coalesce(F.get(known, i % F.greatest(F.size(known), F.lit(1))), F.lit(0))
+        each = F.transform(F.sequence(F.lit(0), F.lit(max_tokens - 1)), lambda i: (base(i) + i + rule.salt) % rule.modulus)
+        return F.when(known.isNotNull(), each)
 
     return let(tokens, out)
 
 
+def _bytes_as_letters(value: Column, kind: str) -> Column:
+    """A text, or tokens as bytes, in which each letter stands for one byte."""
+    if kind == "tokens":
+        return F.array_join(F.transform(value, lambda x: F.chr(x.bitwiseAND(255))), "")
+    if kind in ("tensor", "shaped"):
+        return F.lit("")
+    text = general_number(value) if kind == "number" else value.cast("string")
+    return F.decode(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), "ISO-8859-1")
+
+
+def read_inputs(name: str, inputs: list[Column], kinds: list[str]) -> Column:
+    """array<int> of the prompt tokens that a rule reads from an operator's inputs.
+
+    All but vllm read the first input alone: tokens as they are, a text byte by byte and not canonical, a space
+    for anything else. vllm reads all inputs, a line each, canonical.
+    """
+    rule = RULES[name]
+    if rule.canonical:
+        lines = canonicalize(F.concat_ws("\n", *[_bytes_as_letters(c, k) for c, k in zip(inputs, kinds, strict=True)]))
+        one = let(lines, lambda t: F.transform(F.sequence(F.lit(1), F.char_length(t)), lambda i: F.ascii(F.substring(t, i, F.lit(1)))))
+        return F.when(lines == "", F.array().cast("array<int>")).otherwise(one) if inputs else F.array().cast("array<int>")
+    if inputs and kinds[0] == "tokens":
+        return inputs[0].cast("array<int>")
+    return prompt_tokens(rule, F.coalesce(inputs[0], F.lit("")) if inputs and kinds[0] == "text" else F.lit(""))
+
+
 def run(name: str, prompt: Column, max_tokens: int, remaining: Column | None = None, has_state: Column | None = None) -> Column:
     """struct<output, compute_steps, tokens_sent, tokens_saved, reused_prefix_len, used_cached_state> of one call."""
     rule = RULES[name]

@@ -6,6 +6,8 @@ with nulls. Broadcasting of a single element is an option of `add`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,16 +100,129 @@ def convert(value: Column, shape: Column | None = None) -> Column:
     return F.struct(F.when(F.size(shape) == 0, F.array(F.lit(1).cast("long"))).otherwise(shape).alias("shape"), data.alias("data"))
 
 
-def apply(op: str, a: Column, b: Column | None = None, width: int | None = None) -> Column:
-    """A tensor operator by name; unknown names fail when the plan is built."""
+# Tensors of any rank: struct<shape array<long>, data array<float>>, data in row-major order ----------------
+
+
+def shaped(shape: Column, data: Column) -> Column:
+    return F.struct(shape.cast("array<bigint>").alias("shape"), data.cast("array<float>").alias("data"))
+
+
+def _product(dims: Column) -> Column:
+    return F.aggregate(dims, F.lit(1).cast("long"), lambda a, x: a * x)
+
+
+def _int(c: Column) -> Column:
+    return c.cast("int")
+
+
+def softmax_along(t: Column, dim: int = -1) -> Column:
+    """softmax along one axis, counted from the end if negative; an axis that is not there is an error."""
+
+    def over(data: Column, size: Column, axis: Column, inner: Column) -> Column:
+        member = lambda g, k: F.get(data, _int(F.floor(g / inner) * axis * inner + g % inner + k * inner)).cast("double")
+        places = F.sequence(F.lit(0).cast("long"), axis - 1)
+
+        def stats(g: Column) -> Column:
+            top = F.array_max(F.transform(places, lambda k: member(g, k)))
+            return let(top, lambda m: F.struct(m.alias("top"), F.aggregate(places, F.lit(0.0), lambda a, k: a + F.exp(member(g, k) - m)).alias("sum")))
+
+        def shares(every: Column) -> Column:
+            own = lambda i: F.get(every, _int(F.floor(i / (axis * inner)) * inner + i % inner))
+            return F.transform(data, lambda x, i: (F.exp(x.cast("double") - own(i)["top"]) / own(i)["sum"]).cast("float"))
+
+        lanes = F.when(size > 0, F.sequence(F.lit(0).cast("long"), (size / axis).cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+        return let(F.transform(lanes.cast("array<bigint>"), stats), shares)
+
+    def out(v: Column) -> Column:
+        rank = F.size(v["shape"])
+        at = F.lit(dim) if dim >= 0 else rank + dim
+        dims = lambda x: over(v["data"], F.size(v["data"]).cast("long"), x["axis"], x["inner"])
+        known = F.struct(F.get(v["shape"], at).alias("axis"), _product(F.slice(v["shape"], at + 2, rank)).alias("inner"))
+        made = let(known, lambda x: F.struct(v["shape"].alias("shape"), dims(x).alias("data")))
+        return F.when((at >= 0) & (at < rank), made).otherwise(F.raise_error(F.lit("softmax: no such axis")))
+
+    return let(t, out)
+
+
+def matmul_any(a: Column, b: Column) -> Column:
+    """The product of tensors by the usual rules of rank.
+
+    Two vectors give their inner product, of shape {1}; a vector before a matrix counts as one row, behind one
+    as one column, and that axis goes again. Further axes in front are batches, of which one of length 1 is
+    repeated. Inner or batch axes that do not fit are an error.
+    """
+    fail = lambda m: F.raise_error(F.lit(m))
+    ones = lambda n: F.array_repeat(F.lit(1).cast("long"), _int(n))
+
+    def grown(x: Column, y: Column) -> Column:
+        """Both with at least two axes and as many batch axes."""
+        row = F.when(F.size(x["shape"]) == 1, F.concat(ones(F.lit(1)), x["shape"])).otherwise(x["shape"])
+        col = F.when(F.size(y["shape"]) == 1, F.concat(y["shape"], ones(F.lit(1)))).otherwise(y["shape"])
+        longest = F.greatest(F.size(row), F.size(col))
+        return F.struct(F.concat(ones(longest - F.size(row)), row).alias("p"), F.concat(ones(longest - F.size(col)), col).alias("q"))
+
+    def product(x: Column, y: Column, s: Column) -> Column:
+        p, q, n = s["p"], s["q"], F.size(s["p"])
+        m, inner, width = F.element_at(p, -2), F.element_at(p, -1), F.element_at(q, -1)
+        front = F.zip_with(F.slice(p, F.lit(1), n - 2), F.slice(q, F.lit(1), n - 2), lambda u, v: F.when(u == v, u).when(u == 1, v).when(v == 1, u).otherwise(fail("matmul: batch axes differ").cast("long")))
+
+        def placed(own: Column, batch: Column, b: Column) -> Column:
+            """Which matrix of a tensor belongs to a batch."""
+            coord = lambda k: F.when(F.get(own, k) == 1, 0).otherwise(F.floor(b / _product(F.slice(batch, k + 2, n))) % F.get(batch, k))
+            every = F.sequence(F.lit(0), n - 3)
+            return F.when(n > 2, F.aggregate(F.when(n > 2, every), F.lit(0).cast("long"), lambda acc, k: acc * F.get(own, k) + coord(k))).otherwise(0)
+
+        def cells(batch: Column) -> Column:
+            def cell(c: Column) -> Column:
+                which, i, j = F.floor(c / (m * width)), F.floor(c / width) % m, c % width
+
+                def dot_of(starts: Column) -> Column:
+                    term = lambda k: F.get(x["data"], _int(starts["x"] + k)).cast("double") * F.get(y["data"], _int(starts["y"] + k * width)).cast("double")
+                    return F.aggregate(F.sequence(F.lit(0).cast("long"), inner - 1), F.lit(0.0), lambda acc, k: acc + term(k)).cast("float")
+
+                first = F.struct(((placed(p, batch, which) * m + i) * inner).alias("x"), (placed(q, batch, which) * inner * width + j).alias("y"))
+                return let(first, dot_of)
+
+            return F.transform(F.sequence(F.lit(0).cast("long"), _product(batch) * m * width - 1), cell)
+
+        left = F.when(F.size(x["shape"]) == 1, F.array().cast("array<bigint>")).otherwise(F.array(m))
+        right = F.when(F.size(y["shape"]) == 1, F.array().cast("array<bigint>")).otherwise(F.array(width))
+        named = lambda batch: F.concat(batch, left, right)
+        made = let(front, lambda batch: F.struct(F.when(F.size(named(batch)) == 0, ones(F.lit(1))).otherwise(named(batch)).alias("shape"), cells(batch).alias("data")))
+        return F.when(inner == F.element_at(q, -2), made).otherwise(fail("matmul: inner dimensions differ"))
+
+    return let(a, lambda x: let(b, lambda y: let(grown(x, y), lambda s: product(x, y, s))))
+
+
+def _elementwise(op: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda t: F.struct(t["shape"].alias("shape"), op(t["data"]).alias("data"))
+
+
+def _alike(op: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    def run(a: Column, b: Column) -> Column:
+        out = F.struct(a["shape"].alias("shape"), op(a["data"], b["data"]).alias("data"))
+        return F.when(a["shape"] == b["shape"], out).when(a["shape"] != b["shape"], F.raise_error(F.lit("tensor shapes differ")))
+
+    return run
+
+
+def apply(op: str, a: Column, b: Column | None = None, width: int | None = None, shaped: bool = False, dim: int = -1) -> Column:
+    """A tensor operator by name; unknown names fail when the plan is built. `dim`: the axis of a softmax."""
+    if op in BINARY and b is None:
+        raise ValueError(f"{op} takes two tensors")
     if op in ("input", "identity", "id"):
         return identity(a)
     if op == "relu":
-        return relu(a)
+        return _elementwise(relu)(a) if shaped else relu(a)
     if op == "softmax":
+        if shaped:
+            return softmax_along(a, dim)
+        if dim not in (-1, 0):
+            raise ValueError("softmax: a flat tensor has one axis")
         return softmax(a) if width is None else softmax_rows(a, width)
+    if op == "matmul":
+        return matmul_any(a, b) if shaped else matmul(a, b)
     if op in BINARY:
-        if b is None:
-            raise ValueError(f"{op} takes two tensors")
-        return {"add": add, "mul": mul, "matmul": matmul}[op](a, b)
+        plain = {"add": add, "mul": mul}[op]
+        return _alike(plain)(a, b) if shaped else plain(a, b)
     raise ValueError(f"unsupported tensor op: {op}")

@@ -30,9 +30,25 @@ def byte_tokens(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<int>")).when(text.isNotNull(), let(F.encode(text, "UTF-8"), each))
 
 
-def joined_inputs(*parts: Column) -> Column:
-    """What a token operator reads from several inputs: each canonical, joined by " | ", canonical again."""
-    return canonicalize(F.concat_ws(" | ", *[F.coalesce(canonicalize(p.cast("string")), F.lit("")) for p in parts]))
+def general_number(value: Column) -> Column:
+    """A number in six significant digits, without zeros at its end."""
+    text = F.format_string("%.6g", value.cast("double"))
+    bare = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    return F.when(value == 0, "0").otherwise(bare)
+
+
+def joined_inputs(*parts: Column, kinds: list[str] | None = None, fixed: bool = False) -> Column:
+    """What a cache keeps of several inputs: each canonical, joined by " | ", canonical again.
+
+    kinds: what each input is; tokens and tensors are left empty, numbers written in six significant digits, or
+    where `fixed` with six decimals.
+    """
+    written = []
+    for part, kind in zip(parts, kinds or ["text"] * len(parts), strict=True):
+        if kind == "number":
+            part = F.format_string("%.6f", part.cast("double")) if fixed else general_number(part)
+        written.append(F.lit("") if kind in ("tokens", "tensor", "shaped") else F.coalesce(canonicalize(part.cast("string")), F.lit("")))
+    return canonicalize(F.concat_ws(" | ", *written))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.functions import generators
+from strataflow.functions import generators, tensor
 
 ABI_VERSION = 1
 
 
 @dataclass(frozen=True)
 class Backend:
-    """name, what it can run, and how: a rule name of the generators, or a function from prompts to texts."""
+    """name, what it can run, and how: a rule name of the generators, a function from prompts to texts, or for
+    tensors a function (operator, a, b, shaped, dim) to a Column; without one, Column expressions."""
 
     name: str
     priority: int = 0
@@ -25,6 +27,7 @@ class Backend:
     supports_cache: bool = False
     rule: str | None = None
     complete: Callable[[list[str]], list[str]] | None = None
+    tensor: Callable[..., Column] | None = None
     version: int = ABI_VERSION
 
 
@@ -69,6 +72,11 @@ def complete_with(prompts: DataFrame, backend: Backend, prompt_col: str = "promp
     """
     if backend.rule:
         return prompts.withColumn(output_col, generators.run(backend.rule, F.col(prompt_col), 128)["output"])
+    return prompts.withColumn(output_col, completion(backend)(F.col(prompt_col)))
+
+
+def completion(backend: Backend) -> Callable[[Column], Column]:
+    """A plugin's call as a function from a Column of prompts to one of texts."""
     if backend.complete is None:
         raise ValueError(f"backend {backend.name} has nothing to run")
     call = backend.complete
@@ -78,7 +86,51 @@ def complete_with(prompts: DataFrame, backend: Backend, prompt_col: str = "promp
         for texts in batches:
             yield pd.Series(call(texts.fillna("").tolist()), dtype="object")
 
-    return prompts.withColumn(output_col, answer.asNondeterministic()(F.col(prompt_col)))
+    return answer.asNondeterministic()
+
+
+#: The setting that names the tensor backend of tensor_registry().
+TENSOR_SETTING = "spark.strataflow.tensor.backend"
+
+
+def arrow_tensor(op: str, a: Column, b: Column | None = None, shaped: bool = False, dim: int = -1) -> Column:
+    """The flat tensor operators over Arrow batches, in single precision: a second backend beside the expressions."""
+    if shaped or op not in (*tensor.UNARY, "add", "mul", "matmul"):
+        raise ValueError(f"unsupported tensor op: {op}")
+    if op in tensor.BINARY and b is None:
+        raise ValueError(f"{op} takes two tensors")
+    if op in ("input", "identity", "id"):
+        return a
+
+    def one(x: np.ndarray, y: np.ndarray | None) -> np.ndarray:
+        if op == "relu":
+            return np.maximum(x, np.float32(0))
+        if op == "softmax":
+            e = np.exp(x - x.max(initial=-np.inf))
+            return e / e.sum()
+        if len(x) != len(y):
+            raise ValueError("tensor shapes differ")
+        return {"add": lambda: x + y, "mul": lambda: x * y, "matmul": lambda: np.array([x @ y], np.float32)}[op]()
+
+    @F.pandas_udf("array<float>")
+    def unary(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else one(np.asarray(v, np.float32), None))
+
+    @F.pandas_udf("array<float>")
+    def binary(x: pd.Series, y: pd.Series) -> pd.Series:
+        both = zip(x, y, strict=True)
+        return pd.Series([None if v is None or w is None else one(np.asarray(v, np.float32), np.asarray(w, np.float32)) for v, w in both])
+
+    return binary(a, b) if op in tensor.BINARY else unary(a)
+
+
+def tensor_registry(spark: SparkSession) -> BackendRegistry:
+    """Expressions as the default backend; where the session's setting says "arrow", that one goes before it."""
+    out = BackendRegistry()
+    out.register_backend(Backend("default", 10, supports_tensor=True))
+    if spark.conf.get(TENSOR_SETTING, "") == "arrow":
+        out.register_backend(Backend("arrow", 100, supports_tensor=True, tensor=arrow_tensor))
+    return out
 
 
 def http_client(post: Callable[[dict], str], model: str, max_tokens: int = 128, temperature: float = 0.0) -> Callable[[list[str]], list[str]]:
@@ -91,7 +143,3 @@ def http_client(post: Callable[[dict], str], model: str, max_tokens: int = 128,
         return choice.get("text") or (choice.get("message") or {}).get("content") or ""
 
     return lambda prompts: [one(p) for p in prompts]
-
-
-def token_run(name: str, prompt: Column, max_tokens: int, **state: Column) -> Column:
-    return generators.run(name, prompt, max_tokens, **state)

@@ -6,6 +6,7 @@ the canonical prompt, so prefixes of tokens are prefixes of bytes and are compar
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -100,7 +101,8 @@ class PrefixCache:
     """Every prefix of every inserted prompt, with a handle and the time of its last use; at most max_entries.
 
     Nodes are numbers, children are found by (node, token), entries by (node, key). The least recently used
-    entry goes first, of those of one insertion the shortest.
+    entry goes first, of those of one insertion the shortest. Nodes that lead to no entry any more go from time
+    to time, so memory follows the entries and their lengths, not all that was ever inserted.
     """
 
     def __init__(self, max_entries: int = 8192):
@@ -109,7 +111,8 @@ class PrefixCache:
 
     def clear(self) -> None:
         self.child: dict[tuple[int, int], int] = {}
-        self.depth = [0]
+        self.depth = {0: 0}
+        self.last = 0
         self.entries: dict[tuple[int, object], list] = {}  # [handle, last use]
         self.heap: list[tuple[int, int, int, object]] = []
         self.clock = 0
@@ -152,8 +155,9 @@ class PrefixCache:
             at = (node, token)
             node = self.child.get(at, -1)
             if node < 0:
-                node = self.child[at] = len(self.depth)
-                self.depth.append(self.depth[at[0]] + 1)
+                self.last += 1
+                node = self.child[at] = self.last
+                self.depth[node] = self.depth[at[0]] + 1
             if (node, key) not in self.entries:
                 self.entries[node, key] = [handle, self.clock]
                 self._touch((node, key))
@@ -163,6 +167,20 @@ class PrefixCache:
             used, _, n, k = heapq.heappop(self.heap)
             if (n, k) in self.entries and self.entries[n, k][1] == used:
                 del self.entries[n, k]
+        if max(len(self.heap), len(self.depth)) > 8 * len(self.entries) + 4096:
+            self._compact()
+
+    def _compact(self) -> None:
+        above = {n: at for at, n in self.child.items()}
+        live = {0}
+        for node, _ in self.entries:
+            while node not in live:
+                live.add(node)
+                node = above[node][0]
+        self.child = {at: n for at, n in self.child.items() if n in live}
+        self.depth = {n: d for n, d in self.depth.items() if n in live}
+        self.heap = [(used, self.depth[n], n, k) for (n, k), (_, used) in self.entries.items()]
+        heapq.heapify(self.heap)
 
     def invalidate(self, handle: int) -> None:
         for at in [at for at, e in self.entries.items() if e[0] == handle]:
@@ -185,7 +203,46 @@ class PrefixCache:
             self.insert(key, tokens, len(tokens), None)
 
 
-def replay(cache: PrefixCache, key: object, tokens: bytes, handle: int, policy: str = "always", threshold: int = 1, max_tokens: int = 0) -> dict:
+def shared_length(a: bytes, b: bytes) -> int:
+    """Length of the common prefix, by halving: each step compares slices of bytes."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+class SortedPrefixes:
+    """What a PrefixCache gives as long as nothing is evicted or restored: look-ups among sorted byte strings.
+
+    The longest stored prefix of a query is what it shares with a neighbour in order; `size` counts prefixes.
+    """
+
+    def __init__(self) -> None:
+        self.stored: dict[object, list[bytes]] = {}
+        self.size = 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _longest(self, stored: list[bytes], tokens: bytes) -> tuple[int, int]:
+        at = bisect.bisect_left(stored, tokens)
+        return at, max((shared_length(s, tokens) for s in stored[max(0, at - 1) : at + 1]), default=0)
+
+    def lookup(self, key: object, tokens: bytes) -> tuple[int, int | None]:
+        length = self._longest(self.stored.get(key, []), tokens)[1]
+        return length, 1 if length else None
+
+    def insert(self, key: object, tokens: bytes, length: int, handle: int | None) -> None:
+        tokens = tokens[:length] if length > 0 else b""
+        stored = self.stored.setdefault(key, [])
+        at, known = self._longest(stored, tokens)
+        if known < len(tokens):
+            stored.insert(at, tokens)
+            self.size += len(tokens) - known
+
+
+def replay(cache: PrefixCache | SortedPrefixes, key: object, tokens: bytes, handle: int, policy: str = "always", threshold: int = 1, max_tokens: int = 0) -> dict:
     """One step of a session: what is predicted, what happens, and what is stored.
 
     The session first looks up every prompt, whatever the policy. Execution looks up again unless the policy
@@ -219,14 +276,24 @@ def sequential_reuse(prompts: DataFrame, policy: str = "always", threshold: int
     rows = keyed(prompts).select("session_id", "step", *KEY, "tokens", "total_tokens")
     schema = f"session_id {rows.schema['session_id'].dataType.simpleString()}, step long, total_tokens int, {_REPLAYED}"
 
-    def run(pdf: pd.DataFrame, saved: pd.DataFrame | None = None) -> pd.DataFrame:
-        cache = PrefixCache(max_entries)
-        if saved is not None and len(saved):
-            cache.restore([(tuple(r[k] for k in KEY), bytes(r["prefix"]), 0) for r in saved.sort_values(["last_used", "prefix"]).to_dict("records")])
+    def steps(pdf: pd.DataFrame, cache: PrefixCache | SortedPrefixes) -> list[dict] | None:
         out = []
         for handle, r in enumerate(pdf.sort_values("step").to_dict("records"), 1):
             done = replay(cache, tuple(r[k] for k in KEY), bytes(r["tokens"]), handle, policy, threshold, int(r["max_tokens"]))
             out.append({"session_id": r["session_id"], "step": r["step"], "total_tokens": r["total_tokens"], **done})
+            if len(cache) > max_entries:
+                return None  # without eviction: this session needs the exact cache from its beginning
+        return out
+
+    def run(pdf: pd.DataFrame, saved: pd.DataFrame | None = None) -> pd.DataFrame:
+        out = None
+        if saved is None or not len(saved):
+            out = steps(pdf, SortedPrefixes())
+        if out is None:
+            cache = PrefixCache(max_entries)
+            if saved is not None and len(saved):
+                cache.restore([(tuple(r[k] for k in KEY), bytes(r["prefix"]), 0) for r in saved.sort_values(["last_used", "prefix"]).to_dict("records")])
+            out = steps(pdf, cache)
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     if warm is None:

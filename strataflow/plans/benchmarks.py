@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.functions import tensor
 from strataflow.functions.generators import run
 from strataflow.functions.text import percentile
-from strataflow.operators.prefix import cache_after, sequential_reuse
+from strataflow.operators.backends import arrow_tensor
+from strataflow.operators.prefix import cache_after, load_metadata, save_metadata, sequential_reuse
 from strataflow.operators.session import ReusePolicy, metrics, ratio, reuse
+from strataflow.sources.checkpoints import shared_folder
 from strataflow.sources.prompts import restart_prompts, session_prompts
 
 # What each step of the simulated agent asks for.
@@ -41,14 +46,26 @@ def session(spark: SparkSession, steps: int = 20, prefix: int = 30, policy: Reus
 
 
 def cold_start(spark: SparkSession, steps: int = 5) -> DataFrame:
-    """(phase, hits, steps, hit_rate, cache_size): a session, and one that begins with its saved entries."""
-    first = restart_prompts(spark, steps)
-    warm, cold = sequential_reuse(first), sequential_reuse(first, warm=cache_after(first))
+    """(phase, hits, steps, hit_rate, cache_size): a session, and one that begins with the entries it saved."""
+    first, path = restart_prompts(spark, steps), f"{shared_folder(spark)}/store-{uuid.uuid4()}"
+    save_metadata(cache_after(first), path)
+    warm, cold = sequential_reuse(first), sequential_reuse(first, warm=load_metadata(spark, path))
     both = warm.withColumn("phase", F.lit("warm")).union(cold.withColumn("phase", F.lit("cold")))
     hits = F.sum((F.col("predicted_hit_len") > 0).cast("long"))
     return both.groupBy("phase").agg(hits.alias("hits"), F.count("*").alias("steps"), ratio(hits, F.count("*")).alias("hit_rate"), F.max_by("cache_size", "step").alias("cache_size"))
 
 
+def tensor_parity(spark: SparkSession) -> DataFrame:
+    """(op, max_abs_diff) between the two tensor backends, on the published vectors."""
+    a, b = tensor.const([1.0, 2.0, -3.0, 0.5]), tensor.const([0.25, -1.0, 4.0, 2.0])
+    rows = spark.createDataFrame([("add",), ("relu",), ("softmax",), ("mul",), ("matmul",)], "op string")
+    one = lambda op: tensor.max_abs_diff(tensor.apply(op, a, b), arrow_tensor(op, a, b))
+    diff = F.lit(None).cast("float")
+    for op in ("add", "relu", "softmax", "mul", "matmul"):
+        diff = F.when(F.col("op") == op, one(op)).otherwise(diff)
+    return rows.select("op", diff.cast("double").alias("max_abs_diff"))
+
+
 def paired(spark: SparkSession, trials: int = 10, discard_first: bool = True, shared: int = 3000, cost_ms: float = 2.0) -> DataFrame:
     """One row: medians of simulated latency and the token reduction of a call whose prompt is all reusable.
 

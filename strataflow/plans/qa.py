@@ -40,10 +40,11 @@ def metric(predicted: Column) -> Column:
 
 def parameters() -> dict[str, Param]:
     return {
-        "instruction": Param.text("answer briefly", tokens=["question-first", "carefully", "briefly"]),
-        "fewshot": Param.text("", tokens=["match country", "examples"]),
+        # The parameters of the published benchmark.
+        "instruction": Param.text("Use context-first extraction.", tokens=["question-first", "context-first", "extract"], trials=4),
+        "fewshot": Param.text("", tokens=["match country", "Q:", "A:"], trials=4),
         "reasoning_style": Param.discrete("chain", choices=["chain", "direct"]),
-        "temperature": Param.continuous(0.9, min_value=0.0, max_value=1.0),
+        "temperature": Param.continuous(0.8, min_value=0.0, max_value=1.0, trials=8),
     }
 
 

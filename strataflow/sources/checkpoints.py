@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names in spark.checkpoint.dir; where it names none, as in tests, a new one."""
+    """The checkpoint folder that the session names in spark.checkpoint.dir.
+
+    Where it names none, a new folder on this machine, but only if there is no other: executors elsewhere would
+    not see it.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it names a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -19,3 +26,21 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder; later reads survive lost executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder wherever Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that cut() gave and that nothing reads any more.
+
+    What a result still reads stays until the application ends, and after it, unless the cluster sets
+    spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
+    for df in tables:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            remove(df.sparkSession, file.get())

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.sources.numbering import number_rows
+
 # Countries with their capitals, and the wordings of questions and contexts.
 CAPITALS = {
     "France": "Paris", "Japan": "Tokyo", "India": "New Delhi", "Italy": "Rome", "Spain": "Madrid", "Germany": "Berlin",
@@ -36,11 +39,15 @@ def _nth(items: list[str], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, items)), (at + 1).cast("int"))
 
 
+def wordings(samples: int, seed: int) -> list[tuple[int, int, int]]:
+    """(id, question, context): which wordings each row has, by one seeded generator."""
+    rng = random.Random(seed)
+    return [(i, rng.choice(range(len(QUESTIONS))), rng.choice(range(len(CONTEXTS)))) for i in range(samples)]
+
+
 def qa_rows(spark: SparkSession, samples: int = 200, seed: int = 0) -> DataFrame:
     """(id, question, context, answer, target_country). Wordings are drawn on the driver; rows are made by Spark."""
-    rng = random.Random(seed)
-    drawn = [(i, rng.choice(range(len(QUESTIONS))), rng.choice(range(len(CONTEXTS)))) for i in range(samples)]
-    rows = spark.createDataFrame(drawn, "id int, q int, c int")
+    rows = spark.createDataFrame(wordings(samples, seed), "id int, q int, c int")
     names, cities = list(CAPITALS), list(CAPITALS.values())
     own, other = F.col("id") % len(names), (F.col("id") + 3) % len(names)
     filled = {"{country}": _nth(names, own), "{capital}": _nth(cities, own), "{d_country}": _nth(names, other), "{d_capital}": _nth(cities, other)}
@@ -51,20 +58,21 @@ def qa_rows(spark: SparkSession, samples: int = 200, seed: int = 0) -> DataFrame
 
 
 def batched(rows: DataFrame, size: int = 20, order: str = "id") -> DataFrame:
-    """rows with batch_id: slices of `size` in the given order, the last may be short. For tables that fit a task."""
-    at = F.row_number().over(Window.orderBy(order))
-    return rows.withColumn("batch_id", F.floor((at - 1) / size).cast("long"))
+    """rows with batch_id: slices of `size` in the given order, the last may be short."""
+    numbered, _ = number_rows(rows, [F.col(order)])
+    return numbered.withColumn("batch_id", F.expr(f"row_number div {int(size)}")).drop("row_number")
 
 
 def batches(rows: DataFrame, size: int = 20, order: str = "id") -> Iterator[DataFrame]:
-    held = batched(rows, size, order).persist()
-    for (b,) in held.select("batch_id").distinct().orderBy("batch_id").collect():
-        yield held.where(F.col("batch_id") == b).drop("batch_id")
+    """One DataFrame a batch, in order; all read one numbered table."""
+    numbered, total = number_rows(rows, [F.col(order)])
+    for first in range(0, total, size):
+        yield numbered.where((F.col("row_number") >= first) & (F.col("row_number") < first + size)).drop("row_number")
 
 
 def split_train_test(rows: DataFrame, ratio: float = 0.8, seed: int = 42, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """The same share as a shuffle and a cut would give, by the order of a seeded hash of the id."""
-    at = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col))
-    total = F.count("*").over(Window.partitionBy())
-    marked = rows.withColumn("_train", at <= F.floor(total * ratio))
-    return marked.where("_train").drop("_train"), marked.where("not _train").drop("_train")
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    numbered, total = number_rows(rows, [drawn, F.col(id_col)])
+    cut_at = math.floor(total * ratio)
+    return numbered.where(F.col("row_number") < cut_at).drop("row_number"), numbered.where(F.col("row_number") >= cut_at).drop("row_number")
