@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataflow.sources.checkpoints import cut, discard, shared_folder  # noqa: F401
+
 #: The white space of the contracts' words and lines; everything else, no-break space too, belongs to words.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,33 +16,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names in spark.checkpoint.dir; where it names none, as in tests, a new one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder; later reads survive lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets the driver drop shuffle files of plans that nothing refers to any more.
-
-    Spark removes them when the driver's collector finds the plan gone. Python's references have to go first,
-    and Spark's own listeners hold the last plan until another one has run.
-    """
-    spark.range(1).count()
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

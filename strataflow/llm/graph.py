@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import cut
+from strataflow.llm.common import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,8 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps until the edges are stars, O(log^2 n) rounds. A step takes
     minima, which combine before they are shuffled, and one equi-join, which AQE splits where a node has very
-    many neighbours. Each round is written once to the shared checkpoint folder; the driver sees a count and a
-    checksum. Edges with a null or of a node to itself say nothing; no edges give no rows.
+    many neighbours. Each round is written once to the shared checkpoint folder, in place of the one before it;
+    the driver sees a count and a checksum. Edges with a null or of a node to itself say nothing; no edges give no rows.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct())
     mark = None
@@ -29,4 +29,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large)
         lowest = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(lowest, "v").where("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))
-        now = cut(small.union(lowest).distinct())
+        before, now = now, cut(small.union(lowest).distinct())
+        discard(before, large)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import cut
+from strataflow.sources.numbering import number_rows
 
 #: Each walk leaves the range with a chance under one half, so more steps than this do not occur (2 ** -120 a row).
 WALKS = 120
@@ -35,26 +35,6 @@ def feistel(number: Column, n_rows: int, seed: int = 42, rounds: int = 6) -> Col
     return F.when(walked < n_rows, walked).otherwise(F.raise_error(F.lit("cycle walk too long")).cast("long"))
 
 
-def number_rows(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """rows with a gapless long row_number from 0 in the given order, and how many there are.
-
-    A range partitioning is written once; each part's first number is the count of the rows before it. There
-    is one count a partition, however large the input. Rows that are equal in `order` get numbers in no set order.
-    """
-    by = [*[F.col(c).asc_nulls_first() for c in order], F.col("_tie")]  # the tie spreads equal rows over parts
-    dealt = rows.withColumn("_tie", F.rand(1)).repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
-    placed = cut(dealt.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    counts = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).count().collect()}  # one row a partition
-    first, total = {}, 0
-    for p in sorted(counts):
-        first[p] = total
-        total += counts[p]
-    starts = placed.sparkSession.createDataFrame([(int(p), int(v)) for p, v in first.items()], "_p long, _first long")
-    numbered = placed.join(F.broadcast(starts), part == F.col("_p")) if first else placed.withColumn("_first", F.lit(0).cast("long"))
-    return numbered.withColumn("row_number", F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_p", "_first"), total
-
-
 def shard_rows(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """(doc_id, size, text_crc32, row_number, position, shard, slot): a reproducible shuffle into shards.
 
@@ -69,7 +49,7 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_
     """
     raw = F.coalesce(F.col(text_col), F.lit(""))
     small = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"))
-    numbered, total = number_rows(small, ["doc_id", "text_crc32", "size"])
+    numbered, total = number_rows(small, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     placed = numbered.withColumn("position", feistel(F.col("row_number"), total, seed))
     return placed.select("doc_id", "size", "text_crc32", "row_number", "position", (F.col("position") % n_shards).cast("int").alias("shard"), F.expr(f"position div {n_shards}").alias("slot"))
 
