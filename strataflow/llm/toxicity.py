@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.common import held_out, texts
-from strataflow.llm.rolling import Words, chunks, mix
+from strataflow.llm.rolling import Words, chunks, distinct_spans, mix
 
 _CHUNK = 2 << 20
 _EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 BUCKETS = 1 << 18
 #: Feature kinds of a word: the word itself and its first letters.
-_PREFIXES = (3, 4, 5, 6)
+_PREFIXES = (3, 4, 5, 6, 7)
 _KINDS = 1 + len(_PREFIXES)
 
 
@@ -31,17 +31,19 @@ def _features(word: bytes) -> tuple[int, ...]:
     return tuple(got + [0] * (_KINDS - len(got)))
 
 
-def _emissions(words: list[bytes], weights: np.ndarray, bias: float, known: dict[bytes, float]) -> np.ndarray:
-    """How much better the toxic tag fits each word, by its own features."""
-    out = []
-    for w in words:
-        e = known.get(w)
-        if e is None:
-            e = bias + float(weights[list(_features(w))].sum())
-            if len(known) < 300_000:
-                known[w] = e
-        out.append(e)
-    return np.array(out)
+def _emissions(data: np.ndarray, w: Words, weights: np.ndarray, bias: float, known: dict[bytes, float]) -> np.ndarray:
+    """How much better the toxic tag fits each word, by its own features; each different word is looked up once."""
+    first, of = distinct_spans(data, w.starts, w.ends)
+    if len(known) + len(first) > 400_000:
+        known.clear()
+    raw, out = data.tobytes(), np.empty(len(first))
+    for k, (s, e) in enumerate(zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)):
+        word = raw[s:e]
+        x = known.get(word)
+        if x is None:
+            x = known[word] = bias + float(weights[list(_features(word))].sum())
+        out[k] = x
+    return out[of]
 
 
 def marginals(score: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -123,18 +125,39 @@ def marginals(score: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[
     return p, pairs, log_z
 
 
+def evidence(p: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What a document's marginals come to: the expected toxic words, these in a thousand words, the highest marginal."""
+    out = np.zeros((len(counts), 3))
+    full = counts > 0
+    if full.any():
+        total = np.add.reduceat(p, first[full])
+        out[full] = np.column_stack([np.log1p(total), np.log1p(1000 * total / counts[full]), np.maximum.reduceat(p, first[full])])
+    return out
+
+
+def fit_judge(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray, decay: float = 0.05, steps: int = 50) -> np.ndarray:
+    """Logistic regression of the documents' labels on their evidence, by Newton's method; the last weight is the bias."""
+    x = np.column_stack([x, np.ones(len(x))])
+    beta, ridge = np.zeros(x.shape[1]), np.diag([decay] * (x.shape[1] - 1) + [1e-6])
+    for _ in range(steps):
+        s = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        move = np.linalg.solve((x * (weight * s * (1 - s) + 1e-9)[:, None]).T @ x + ridge, x.T @ (weight * (s - toxic)) + ridge @ beta)
+        beta -= move / max(1.0, float(np.abs(move).max()) / 2)
+        if np.abs(move).max() < 1e-8:
+            break
+    return beta
+
+
 class ToxicSpans:
-    """The field: bucket weights and a bias for the tag of a word, scores for neighbouring tags."""
+    """The field: bucket weights and a bias for the tag of a word, scores for neighbouring tags; what documents are judged by."""
 
-    def __init__(self, weights: np.ndarray, bias: float, trans: np.ndarray):
-        self.weights, self.bias, self.trans = weights, bias, trans
+    def __init__(self, weights: np.ndarray, bias: float, trans: np.ndarray, judge: np.ndarray | None = None):
+        self.weights, self.bias, self.trans, self.judge = weights, bias, trans, judge
         self.known: dict[bytes, float] = {}
 
     def tag(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
-        w = Words(data, offsets)
-        raw = data.tobytes()
-        words = [raw[s:e] for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-        p, _, _ = marginals(_emissions(words, self.weights, self.bias, self.known), w.first[:-1], self.trans)
+        w = Words(data, offsets, hashed=False)
+        p, _, _ = marginals(_emissions(data, w, self.weights, self.bias, self.known), w.first[:-1], self.trans)
         return w, p
 
 
@@ -242,16 +265,16 @@ def _members(group: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
 
 
-def toxic_features(tokens: Tokens, toxic: np.ndarray, precision: float = 0.8) -> np.ndarray:
+def toxic_features(tokens: Tokens, toxic: np.ndarray, group: np.ndarray | None = None, precision: float = 0.4) -> np.ndarray:
     """Features that mark toxic words, by the documents' labels alone.
 
     Each group of near copies counts once, or every word of a copied toxic text would seem toxic. A feature is
     taken if at least `precision` of its groups are toxic and so many would hardly be by chance: by the
     Chernoff bound on the share of toxic groups, over all features that are as frequent, less than one in
-    seven times.
+    seven times. What also stands in clean texts gets marginals below one; the document is judged by all of them.
     """
     seen = tokens.seen()
-    group = _groups(tokens, seen)
+    group = _groups(tokens, seen) if group is None else group
     counts = np.zeros((2, BUCKETS))
     n_bad = 0
     for members in _members(group):
@@ -270,9 +293,9 @@ def toxic_features(tokens: Tokens, toxic: np.ndarray, precision: float = 0.8) ->
     return had[(at >= precision) & (at > share) & (far >= need)]
 
 
-def token_labels(tokens: Tokens, toxic: np.ndarray) -> list[np.ndarray]:
+def token_labels(tokens: Tokens, toxic: np.ndarray, group: np.ndarray | None = None) -> list[np.ndarray]:
     """The labelled tokens: words of toxic documents that have a toxic feature."""
-    marked = np.isin(tokens.features, toxic_features(tokens, toxic)).any(axis=1)
+    marked = np.isin(tokens.features, toxic_features(tokens, toxic, group)).any(axis=1)
     return [marked[d] & bool(t) for d, t in zip(tokens.docs, toxic, strict=True)]
 
 
@@ -338,7 +361,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows
     by = F.xxhash64("doc_id"), F.col("doc_id")
     chosen = known.where("toxic = 1").orderBy(*by).limit(max_rows).union(known.where("toxic = 0").orderBy(*by).limit(max_rows))
     each = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
-    sizes = each.groupBy("doc_id", "toxic").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(*by).collect()
+    sizes = each.groupBy("doc_id", "toxic").agg(F.sum(F.octet_length("text") + 64).alias("size")).orderBy(*by).collect()
     fit = set().union(*(_fitting([(r["doc_id"], r["size"]) for r in sizes if r["toxic"] == t], max_bytes) for t in (0, 1)))
     over = [r["doc_id"] for r in sizes if r["doc_id"] not in fit]
     rows = (each.where(~F.col("doc_id").isin(over)) if over else each).select("doc_id", "text", "toxic").toArrow()
@@ -346,27 +369,42 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows
     toxic = rows["toxic"].to_numpy()
     if not (toxic == 1).any() or not (toxic == 0).any():
         return float(toxic.mean()) if len(toxic) else 0.0
-    tokens = Tokens(rows["text"].to_pylist())
-    return fit_field(tokens, token_labels(tokens, toxic))
+    return fit_documents(rows["text"].to_pylist(), toxic)
 
 
-def _judged(p: np.ndarray, w: Words) -> np.ndarray:
-    """A document's score: the marginal of its most toxic word, 0 without words."""
-    out = np.zeros(len(w.counts))
-    full = w.counts > 0
-    if full.any():
-        out[full] = np.maximum.reduceat(p, w.first[:-1][full])
-    return np.clip(out, 0, 1)
+def fit_documents(texts: list[str], toxic: np.ndarray) -> ToxicSpans:
+    """The field from the tokens that documents' labels mark, and the judgement of documents by its marginals.
+
+    A group of near copies weighs as one document in the judgement.
+    """
+    tokens = Tokens(texts)
+    group = _groups(tokens, tokens.seen())
+    model = fit_field(tokens, token_labels(tokens, toxic, group))
+    each = model.weights[tokens.features].sum(axis=1, dtype=np.float64) + model.bias
+    counts = np.array([len(d) for d in tokens.docs])
+    first = np.cumsum(counts) - counts
+    p, _, _ = marginals(each[np.concatenate([np.zeros(0, np.int32), *tokens.docs])], first, model.trans)
+    _, of, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    model.judge = fit_judge(evidence(p, first, counts), toxic.astype(float), 1 / sizes[of])
+    return model
+
+
+def _judged(p: np.ndarray, w: Words, judge: np.ndarray) -> np.ndarray:
+    """A document's score from its marginals, 0 without words."""
+    x = evidence(p, w.first[:-1], w.counts)
+    return np.where(w.counts > 0, 1 / (1 + np.exp(-np.clip(x @ judge[:-1] + judge[-1], -30, 30))), 0.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 2000, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, spans): toxic documents and where they are toxic.
 
-    The score of a document is the highest marginal probability of the toxic tag among its words, by forward
-    and backward passes over the whole text; spans are runs of words whose marginal reaches the threshold, as
-    [start, end) in UTF-8 bytes. Rows whose crc32(doc_id as text) mod 3 is 1 are held out and not learned
+    Forward and backward passes over the whole text give each word's marginal probability of the toxic tag. The
+    score of a document is a logistic function of what these come to: the expected toxic words, their share and
+    the highest marginal. Spans are runs of words whose marginal reaches the threshold, as [start, end) in UTF-8
+    bytes. Rows whose crc32(doc_id as text) mod 3 is 1 are held out and not learned
     from. Null, blank and empty texts score 0 with no spans; null ids stay null; equal rows get equal results;
-    an empty table gives an empty table. Without labels all scores are 0.
+    a marginal or score exactly at the threshold counts; a text of any length goes through whole, in memory that
+    follows its length; an empty table gives an empty table. Without labels all scores are 0.
 
     One pass over the documents without a shuffle; the broadcast model has a fixed size, 2 ** 18 weights.
     """
@@ -379,7 +417,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_r
                 score, spans = np.full(rows.num_rows, model), [[] for _ in range(rows.num_rows)]
             else:
                 w, p = model.tag(data, offsets)
-                score, spans = _judged(p, w), [[] for _ in range(rows.num_rows)]
+                score, spans = _judged(p, w, model.judge), [[] for _ in range(rows.num_rows)]
                 last = -2
                 for k in np.flatnonzero(p >= threshold).tolist():
                     t = int(np.searchsorted(w.first, k, "right")) - 1
