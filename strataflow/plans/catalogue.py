@@ -282,18 +282,20 @@ def backend_select(spark, sf_dir):  # registry
 
 
 @query(
-    f"WITH u AS (SELECT page_id, {_HEX.format('url')} AS h FROM pages), p AS (SELECT q.page_id, max({_LCP.format('q.h', 's.h')}) AS hit_len FROM u q JOIN u s ON s.page_id % 2 = 0 WHERE q.page_id % 2 = 1 GROUP BY q.page_id) "
-    "SELECT page_id, CAST(hit_len AS BIGINT) AS hit_len FROM p"
+    f"WITH q AS (SELECT doc_id, {_HEX.format("coalesce(text, '')")} AS h FROM documents), s AS (SELECT {_HEX.format("coalesce(text, '')")} AS h FROM benchmark) "
+    f"SELECT doc_id, CAST(max({_LCP.format('q.h', 's.h')}) AS BIGINT) AS hit_len FROM q, s GROUP BY doc_id"
 )
-def longest_prefix_static(spark, sf_dir):  # C2a
-    rows = _table(spark, sf_dir, "pages").select("page_id", F.encode("url", "UTF-8").alias("b"), F.lit("m").alias("model_id"))
-    store = rows.where("page_id % 2 = 0").select("model_id", F.col("b").alias("prefix"), F.col("page_id").alias("handle"))
-    asked = rows.where("page_id % 2 = 1").select("model_id", F.col("b").alias("tokens"), F.col("page_id").alias("query_id"))
-    return prefix.longest_prefix(store, asked, ["model_id"]).select(F.col("query_id").alias("page_id"), _long(F.col("hit_len")).alias("hit_len"))
+def longest_prefix_static(spark, sf_dir):  # C2a: every document against all stored test items
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    store = _table(spark, sf_dir, "benchmark").select(F.lit("m").alias("model_id"), raw.alias("prefix"), F.col("item_id").alias("handle"))
+    asked = _table(spark, sf_dir, "documents").select(F.lit("m").alias("model_id"), raw.alias("tokens"), F.col("doc_id").alias("query_id"))
+    return prefix.longest_prefix(store, asked, ["model_id"]).select(F.col("query_id").alias("doc_id"), _long(F.col("hit_len")).alias("hit_len"))
 
 
-@query()
-def longest_prefix_pages(spark, sf_dir):  # C2a: every page against all others; SQL would form all pairs
+@query(
+    f"WITH u AS (SELECT page_id, {_HEX.format('url')} AS h FROM pages) SELECT q.page_id, CAST(max({_LCP.format('q.h', 's.h')}) AS BIGINT) AS hit_len FROM u q JOIN u s ON s.page_id <> q.page_id GROUP BY q.page_id"
+)
+def longest_prefix_pages(spark, sf_dir):  # C2a: every page against all others
     rows = _table(spark, sf_dir, "pages").select(F.lit("m").alias("model_id"), F.col("page_id").alias("query_id"), F.encode("url", "UTF-8").alias("tokens"))
     return prefix.longest_prefix_of_others(rows, ["model_id"]).select(F.col("query_id").alias("page_id"), _long(F.col("hit_len")).alias("hit_len"))
 

@@ -9,12 +9,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strataflow.functions import tensor
+from strataflow.functions import tensor, text
 from strataflow.operators import backends, prefix
 from strataflow.operators.session import ReusePolicy
 from strataflow.plans import graph as g
 from strataflow.plans.session import Session, session_metrics
-from strataflow.sources import values
+from strataflow.sources import log, values
 from strataflow.sources.numbering import number_rows
 from strataflow.streaming.session_reuse import stream_reuse
 
@@ -247,3 +247,17 @@ def test_streams_with_a_cache_equal_batches(spark, tmp_path, policy, entries):
     got = {(r["session_id"], r["step"]): r["hit_len"] for r in spark.table(name).collect()}
     want = prefix.sequential_reuse(df, policy.kind, policy.min_len, entries or 8192)
     assert got == {(r["session_id"], r["step"]): r["hit_len"] for r in want.collect()}
+
+
+def test_small_helpers(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(ReusePolicy.threshold(3).should_attempt(F.lit(3))) and not one(ReusePolicy.threshold(3).should_attempt(F.lit(2)))
+    assert one(ReusePolicy.always().should_attempt(F.lit(0))) and not one(ReusePolicy.never().should_attempt(F.lit(9)))
+    key = lambda t, p: text.prefix_hash(F.lit("m"), F.lit("generate"), F.lit(8), text.temp_milli(F.lit(t)), F.lit(p).cast("binary"))
+    assert one(key(0.1, "ab")) == one(key(0.1, "ab")) != one(key(0.2, "ab")) != one(key(0.2, "ac"))
+    params = lambda t, n: F.struct(F.lit("generate").alias("op_name"), F.lit(t).alias("temperature"), F.lit(n).alias("max_tokens"))
+    assert one(text.same_decode(params(0.1, 8), params(0.1000001, 8))) and not one(text.same_decode(params(0.1, 8), params(0.1, 9)))
+    assert one(tensor.convert(F.expr("array(1, 2)"), F.expr("array(2L)")))["shape"] == [2]
+    assert one(tensor.convert(F.expr("array(1)"), F.expr("cast(array() as array<bigint>)")))["shape"] == [1]
+    assert one(text.general_number(F.lit(0.25))) == "0.25" and one(text.general_number(F.lit(3.0))) == "3" and one(text.general_number(F.lit(1234567.0))) == "1.23457e+06"
+    assert set(log.setup()) == set(log.NAMES) and all(len(x.handlers) == 1 for x in log.setup().values())
