@@ -29,6 +29,17 @@ def _segments(n: int) -> list[tuple[int, int]]:
     return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
 
 
+def _flips(width: int, bits: int) -> Column:
+    """array<long> of all values below 2 ** width with so many bits set, made bit by bit."""
+    none = F.array().cast("array<int>")
+    above = lambda top: F.when(top < width - 1, F.sequence(top + 1, F.lit(width - 1))).otherwise(none)
+    grown = lambda p: F.transform(above(p["top"]), lambda b: F.struct(p["mask"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)).alias("mask"), b.alias("top")))
+    made = F.array(F.struct(F.lit(0).cast("long").alias("mask"), F.lit(-1).alias("top")))
+    for _ in range(bits):
+        made = F.flatten(F.transform(made, grown))
+    return F.transform(made, lambda p: p["mask"])
+
+
 def hamming_top_k(vectors: DataFrame, k: int = 10, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, distance): for each row whose id is divisible by `every`, its k nearest others.
 
@@ -62,9 +73,8 @@ def hamming_top_k(vectors: DataFrame, k: int = 10, every: int = 20, id_col: str
     for r in range(max(w for _, w in parts) + 1):
         probes = None
         for w in sorted({w for _, w in parts}):
-            flips = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << w) - 1).cast("long")), lambda x: F.bit_count(x) == r)
             own = [F.struct(F.lit(j).alias("part"), value(F.col("code"), j).alias("value")) for j, (_, width) in enumerate(parts) if width == w]
-            some = active.select("code", "bound", F.explode(F.array(*own)).alias("p")).select("code", "bound", "p.*", F.explode(flips).alias("flip"))
+            some = active.select("code", "bound", F.explode(F.array(*own)).alias("p")).select("code", "bound", "p.*", F.explode(_flips(w, r)).alias("flip"))
             probes = some if probes is None else probes.union(some)
         probes = probes.select("code", "bound", "part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
         apart = F.col("code").bitwiseXOR(F.col("near"))
