@@ -112,6 +112,15 @@ def retrieve(question: Column, k: int = 4) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.concat(F.lit("doc:"), question, F.lit(":"), i.cast("string")))
 
 
+@F.udtf(returnType="nth: int, doc: string")
+class Retrieve:
+    """retrieve() as a table function: a row a document, for LATERAL joins in SQL once it is registered."""
+
+    def eval(self, question: str, k: int):
+        for i in range(max(0, k or 0)):
+            yield i, f"doc:{question}:{i}"
+
+
 def answer_from_context(context: Column) -> Column:
     """What follows the last "is ", without white space around it and without one full stop at its end."""
     tail = F.btrim(F.substring_index(context, "is ", -1), F.lit(" \t\n\r\x0b\x0c"))

@@ -260,4 +260,6 @@ def test_small_helpers(spark):
     assert one(tensor.convert(F.expr("array(1, 2)"), F.expr("array(2L)")))["shape"] == [2]
     assert one(tensor.convert(F.expr("array(1)"), F.expr("cast(array() as array<bigint>)")))["shape"] == [1]
     assert one(text.general_number(F.lit(0.25))) == "0.25" and one(text.general_number(F.lit(3.0))) == "3" and one(text.general_number(F.lit(1234567.0))) == "1.23457e+06"
+    spark.udtf.register("retrieve_documents", text.Retrieve)
+    assert [tuple(r) for r in spark.sql("SELECT q, nth, doc FROM VALUES ('a'), ('b') AS v(q), LATERAL retrieve_documents(q, 2) ORDER BY 1, 2").collect()] == [("a", 0, "doc:a:0"), ("a", 1, "doc:a:1"), ("b", 0, "doc:b:0"), ("b", 1, "doc:b:1")]
     assert set(log.setup()) == set(log.NAMES) and all(len(x.handlers) == 1 for x in log.setup().values())
