@@ -46,16 +46,22 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each span; spans ascend and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
+    return span_hashes_to(data, starts, [ends])[0]
+
+
+def span_hashes_to(data: np.ndarray, starts: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of spans from each start to several ends, of which the first are the last; ends before a start give anything."""
+    out = [np.empty(len(starts), np.uint64) for _ in ends]
     at = 0
-    while at < len(out):  # spans that start in one block of bytes
+    while at < len(starts):  # spans that start in one block of bytes
         end = max(at + 1, int(np.searchsorted(starts, starts[at] + _BLOCK)))
-        low, high = int(starts[at]), int(ends[end - 1])
+        low, high = int(starts[at]), int(ends[0][end - 1])
         up, down = powers(_BYTE_BASE, high - low)
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum(_BYTES[data[low:high]] * up[: high - low], out=sums[1:])
-        s, e = starts[at:end] - low, ends[at:end] - low
-        out[at:end] = mix((sums[e] - sums[s]) * down[s])
+        s = starts[at:end] - low
+        for hashes, to in zip(out, ends, strict=True):
+            hashes[at:end] = mix((sums[np.clip(to[at:end] - low, 0, high - low)] - sums[s]) * down[s])
         at = end
     return out
 

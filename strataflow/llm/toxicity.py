@@ -11,39 +11,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.llm.common import held_out, texts
-from strataflow.llm.rolling import Words, chunks, distinct_spans, mix
+from strataflow.llm.rolling import Words, chunks, mix, span_hashes_to
 
-_CHUNK = 2 << 20
-_EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
-BUCKETS = 1 << 18
+_CHUNK = 1 << 20
+_EDGE = np.zeros(256, bool)
+_EDGE[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+BUCKETS = 1 << 21
 #: Feature kinds of a word: the word itself and its first letters.
 _PREFIXES = (3, 4, 5, 6, 7)
 _KINDS = 1 + len(_PREFIXES)
 
 
-def _features(word: bytes) -> tuple[int, ...]:
-    """Buckets of a word's features: itself and its prefixes, lower-cased, without signs at its ends."""
-    import xxhash
-
-    core = word.decode("utf-8", "replace").lower().strip(_EDGE.decode())
-    shapes = ["w" + core, *[f"{k}{core[:k]}" for k in _PREFIXES if len(core) > k]]
-    got = [xxhash.xxh64_intdigest(s.encode(), 9) % (BUCKETS - 1) + 1 for s in shapes] if core else []
-    return tuple(got + [0] * (_KINDS - len(got)))
+def word_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Buckets of the features of every word of some texts: itself and its prefixes, lower-cased, without signs at
+    its ends; 0 for a prefix that is as long as the word, and for a word of signs alone."""
+    low = [data[s:e].tobytes().decode("utf-8", "replace").lower().encode() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    data = np.frombuffer(b"".join(low), np.uint8)
+    w = Words(data, np.cumsum([0, *map(len, low)]), hashed=False)
+    out = np.zeros((len(w.starts), _KINDS), np.int32)
+    inner = np.flatnonzero(~_EDGE[data])
+    if not len(inner):
+        return out
+    start = inner[np.minimum(np.searchsorted(inner, w.starts), len(inner) - 1)]
+    end = inner[np.maximum(np.searchsorted(inner, w.ends) - 1, 0)] + 1
+    own = np.flatnonzero((start >= w.starts) & (end > start) & (end <= w.ends))
+    start, end = start[own], end[own]
+    letter = np.flatnonzero((data & 0xC0) != 0x80)  # where each letter begins
+    first = np.searchsorted(letter, start)
+    ends = [end, *[letter[np.minimum(first + k, len(letter) - 1)] for k in _PREFIXES]]
+    whole = [np.ones(len(own), bool), *[(first + k < len(letter)) & (e < end) for k, e in zip(_PREFIXES, ends[1:], strict=True)]]
+    for kind, (h, ok) in enumerate(zip(span_hashes_to(data, start, ends), whole, strict=True)):
+        seeded = mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (kind + 1) % (1 << 64)))
+        out[own, kind] = np.where(ok, seeded % np.uint64(BUCKETS - 1) + np.uint64(1), 0)
+    return out
 
 
-def _emissions(data: np.ndarray, w: Words, weights: np.ndarray, bias: float, known: dict[bytes, float]) -> np.ndarray:
-    """How much better the toxic tag fits each word, by its own features; each different word is looked up once."""
-    first, of = distinct_spans(data, w.starts, w.ends)
-    if len(known) + len(first) > 400_000:
-        known.clear()
-    raw, out = data.tobytes(), np.empty(len(first))
-    for k, (s, e) in enumerate(zip(w.starts[first].tolist(), w.ends[first].tolist(), strict=True)):
-        word = raw[s:e]
-        x = known.get(word)
-        if x is None:
-            x = known[word] = bias + float(weights[list(_features(word))].sum())
-        out[k] = x
-    return out[of]
+def _features(word: bytes) -> tuple[int, ...]:
+    """The buckets of one word."""
+    return tuple(word_features(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0].tolist())
 
 
 def marginals(score: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -153,11 +158,11 @@ class ToxicSpans:
 
     def __init__(self, weights: np.ndarray, bias: float, trans: np.ndarray, judge: np.ndarray | None = None):
         self.weights, self.bias, self.trans, self.judge = weights, bias, trans, judge
-        self.known: dict[bytes, float] = {}
 
     def tag(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
         w = Words(data, offsets, hashed=False)
-        p, _, _ = marginals(_emissions(data, w, self.weights, self.bias, self.known), w.first[:-1], self.trans)
+        score = self.weights[word_features(data, offsets)].sum(axis=1, dtype=np.float64) + self.bias
+        p, _, _ = marginals(score, w.first[:-1], self.trans)
         return w, p
 
 
@@ -167,7 +172,8 @@ class Tokens:
     def __init__(self, texts: list[str]):
         known: dict[bytes, int] = {}
         self.docs = [np.array([known.setdefault(w, len(known)) for w in t.encode().split()], np.int32) for t in texts]
-        self.features = np.array([_features(w) for w in known], np.int32).reshape(len(known), _KINDS)
+        raw = np.frombuffer(b" ".join(known), np.uint8)
+        self.features = word_features(raw, np.array([0, len(raw)]))
 
     def seen(self) -> list[np.ndarray]:
         """Each text's distinct features."""
@@ -406,7 +412,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_r
     a marginal or score exactly at the threshold counts; a text of any length goes through whole, in memory that
     follows its length; an empty table gives an empty table. Without labels all scores are 0.
 
-    One pass over the documents without a shuffle; the broadcast model has a fixed size, 2 ** 18 weights.
+    One pass over the documents without a shuffle; the broadcast model has a fixed size, 2 ** 21 weights (8 MB).
     """
     field = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label_col, max_rows, id_col, text_col))
 
