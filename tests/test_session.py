@@ -114,6 +114,17 @@ def test_lone_operators_builders_and_tools(spark):
     assert len(twice.cir().nodes) == 2 and twice.compile("spark")["graph"] is twice.cir()
 
 
+def test_a_default_tensor_backend_takes_tools(spark):
+    t = g.Graph()
+    a, b = t.add(g.Node("TensorOp", op_name="input")), t.add(g.Node("TensorOp", op_name="input"))
+    k = t.add(g.Node("ToolOp", (a, b), tool_name="unknown"))
+    c = t.add(g.Node("ControlOp", (a, b)))
+    rows = spark.sql("SELECT 'x' AS p, 'y' AS q")
+    bare = g.run(t, rows, {a: "p", b: "q"}).first()
+    with_default = g.run(t, rows, {a: "p", b: "q"}, registry=backends.tensor_registry(spark)).first()
+    assert (bare[f"node_{k}"], with_default[f"node_{k}"], with_default[f"node_{c}"]) == ("y", "x", "y")
+
+
 def test_names_that_share_nothing_stay_apart():
     x = g.Graph()
     a, b = x.add(g.Node("TensorOp", op_name="input")), x.add(g.Node("TensorOp", op_name="input"))
