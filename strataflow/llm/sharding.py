@@ -43,9 +43,8 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_
     slots have no gap. Who knows a row's number computes its place without the other rows.
 
     Null texts: size 1 and the checksum of no bytes. Null ids come first. Equal rows get different numbers;
-    which of them gets which cannot be told apart. An empty table gives an empty table. Texts of any length are
-    read as a stream of rows and do not move:
-    each is read once for its size and checksum, and the heaviest source or key is as any other row.
+    which of them gets which cannot be told apart. An empty table gives an empty table. Texts of any length do not
+    move: each is read once for its size and checksum, and the heaviest source or key is as any other row.
     """
     raw = F.coalesce(F.col(text_col), F.lit(""))
     small = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(F.encode(raw, "UTF-8")).alias("text_crc32"))
