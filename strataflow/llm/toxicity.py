@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from strataflow.llm.rolling import Words, chunks, mix, span_hashes_to
 _CHUNK = 1 << 20
 _EDGE = np.zeros(256, bool)
 _EDGE[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
-BUCKETS = 1 << 21
+BUCKETS = 1 << 20
 #: Feature kinds of a word: the word itself and its first letters.
 _PREFIXES = (3, 4, 5, 6, 7)
 _KINDS = 1 + len(_PREFIXES)
@@ -169,11 +169,15 @@ class ToxicSpans:
 class Tokens:
     """Texts as numbers: a vocabulary with a row of feature buckets for each word, and each text's words in it."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: Iterable[str]):
         known: dict[bytes, int] = {}
         self.docs = [np.array([known.setdefault(w, len(known)) for w in t.encode().split()], np.int32) for t in texts]
-        raw = np.frombuffer(b" ".join(known), np.uint8)
-        self.features = word_features(raw, np.array([0, len(raw)]))
+        words, parts = list(known), [np.zeros((0, _KINDS), np.int32)]
+        known.clear()
+        for at in range(0, len(words), 1 << 15):
+            raw = np.frombuffer(b" ".join(words[at : at + (1 << 15)]), np.uint8)
+            parts.append(word_features(raw, np.array([0, len(raw)])))
+        self.features = np.concatenate(parts)
 
     def seen(self) -> list[np.ndarray]:
         """Each text's distinct features."""
@@ -281,7 +285,7 @@ def toxic_features(tokens: Tokens, toxic: np.ndarray, group: np.ndarray | None =
     """
     seen = tokens.seen()
     group = _groups(tokens, seen) if group is None else group
-    counts = np.zeros((2, BUCKETS))
+    counts = np.zeros((2, BUCKETS), np.int32)
     n_bad = 0
     for members in _members(group):
         bad = int(toxic[members].max())
@@ -305,7 +309,7 @@ def token_labels(tokens: Tokens, toxic: np.ndarray, group: np.ndarray | None = N
     return [marked[d] & bool(t) for d, t in zip(tokens.docs, toxic, strict=True)]
 
 
-def fit_field(tokens: Tokens, tags: list[np.ndarray], steps: int = 25, rate: float = 0.5, decay: float = 2e-4, block: int = 200_000) -> ToxicSpans:
+def fit_field(tokens: Tokens, tags: list[np.ndarray], steps: int = 25, rate: float = 0.5, decay: float = 2e-4, block: int = 50_000) -> ToxicSpans:
     """Penalised maximum likelihood of the tags, by Adam over whole passes in blocks of about `block` words."""
     parts, now, size = [], [], 0
     for k, d in enumerate(tokens.docs):
@@ -321,28 +325,38 @@ def fit_field(tokens: Tokens, tags: list[np.ndarray], steps: int = 25, rate: flo
         inner[first[first < len(w)]] = False
         at = np.flatnonzero(inner)
         np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), 1)
-    words, shape = len(tokens.features), tokens.features.ravel()
-    theta = np.zeros(BUCKETS + 5)
-    theta[BUCKETS] = math.log((total + 1) / (sum(len(w) for w, _, _ in parts) + 100))
+    words = len(tokens.features)
+    known, shape = np.unique(tokens.features, return_inverse=True)  # the buckets that the texts use; the others keep weight 0
+    shape = shape.reshape(words, _KINDS).astype(np.int32)
+    none, size = int(np.searchsorted(known, 1)), len(known)  # bucket 0 stands for no feature
+    theta = np.zeros(size + 5)
+    theta[size] = math.log((total + 1) / (sum(len(w) for w, _, _ in parts) + 100))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        weights = theta[:BUCKETS].copy()
-        weights[0] = 0
-        each = weights[tokens.features].sum(axis=1) + theta[BUCKETS]
+        each = theta[shape[:, 0]] + theta[size]
+        for k in range(1, _KINDS):
+            each += theta[shape[:, k]]
         miss, g = np.zeros(words), np.zeros_like(theta)
-        g[BUCKETS + 1 :] = -seen.ravel()
+        g[size + 1 :] = -seen.ravel()
         for w, first, y in parts:
-            p, pairs, _ = marginals(each[w], first, theta[BUCKETS + 1 :].reshape(2, 2))
-            miss += np.bincount(w, p - y, words)
-            g[BUCKETS + 1 :] += pairs.ravel()
-        g[:BUCKETS] = np.bincount(shape, np.repeat(miss, _KINDS), BUCKETS)
-        g[0], g[BUCKETS] = 0, miss.sum()
-        g = g / total + decay * theta * np.r_[np.ones(BUCKETS), 0, np.ones(4)]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    weights = theta[:BUCKETS].astype(np.float32)
-    weights[0] = 0
-    return ToxicSpans(weights, float(theta[BUCKETS]), theta[BUCKETS + 1 :].reshape(2, 2))
+            p, pairs, _ = marginals(each[w], first, theta[size + 1 :].reshape(2, 2))
+            np.add.at(miss, w, p - y)
+            g[size + 1 :] += pairs.ravel()
+        for k in range(_KINDS):
+            g[:size] += np.bincount(shape[:, k], miss, size)
+        g[:none], g[size] = 0, miss.sum()
+        g /= total
+        bias = g[size]
+        g += decay * theta
+        g[size] = bias  # the bias does not decay
+        m *= 0.9
+        m += 0.1 * g
+        v *= 0.99
+        v += 0.01 * g * g
+        theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[known] = theta[:size]
+    return ToxicSpans(weights, float(theta[size]), theta[size + 1 :].reshape(2, 2))
 
 
 def _fitting(sizes: list[tuple[int, int]], max_bytes: int) -> set[int]:
@@ -375,15 +389,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows
     toxic = rows["toxic"].to_numpy()
     if not (toxic == 1).any() or not (toxic == 0).any():
         return float(toxic.mean()) if len(toxic) else 0.0
-    return fit_documents(rows["text"].to_pylist(), toxic)
+    texts_of = rows["text"]
+    del rows
+    tokens = Tokens(t.as_py() for t in texts_of)
+    del texts_of  # only the numbers stay
+    return fit_documents(tokens, toxic)
 
 
-def fit_documents(texts: list[str], toxic: np.ndarray) -> ToxicSpans:
+def fit_documents(tokens: Tokens, toxic: np.ndarray) -> ToxicSpans:
     """The field from the tokens that documents' labels mark, and the judgement of documents by its marginals.
 
     A group of near copies weighs as one document in the judgement.
     """
-    tokens = Tokens(texts)
     group = _groups(tokens, tokens.seen())
     model = fit_field(tokens, token_labels(tokens, toxic, group))
     each = model.weights[tokens.features].sum(axis=1, dtype=np.float64) + model.bias
@@ -412,7 +429,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_r
     a marginal or score exactly at the threshold counts; a text of any length goes through whole, in memory that
     follows its length; an empty table gives an empty table. Without labels all scores are 0.
 
-    One pass over the documents without a shuffle; the broadcast model has a fixed size, 2 ** 21 weights (8 MB).
+    One pass over the documents without a shuffle; the broadcast model has a fixed size, 2 ** 20 weights (4 MB).
     """
     field = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label_col, max_rows, id_col, text_col))
 
